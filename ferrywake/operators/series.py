@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 EARTH_M = 6_371_000.0
@@ -82,7 +83,7 @@ def last_group_start(t: pa.Table, keys: list[str]) -> int:
     same = np.ones(n, bool)
     for k in keys:
         column = t.column(k)
-        same &= np.asarray(pa.compute.equal(column, column[n - 1]).fill_null(False))
+        same &= np.asarray(pc.equal(column, column[n - 1]).fill_null(False))
     different = np.flatnonzero(~same)
     return int(different[-1]) + 1 if len(different) else 0
 
