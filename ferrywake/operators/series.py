@@ -77,6 +77,33 @@ def map_whole_groups(df: DataFrame, keys: list[str], order: list[str], fn: Calla
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def scan_in_order(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple], outputs: list[tuple[str, pa.DataType]], columns: list[str]) -> DataFrame:
+    """Fold each group in order with a small state, for recursions that windows can't express.
+
+    ``step(state, row)`` returns (state, output values); ``row`` is a dict of ``columns``. Rows stream through in Arrow batches and only the state is held, so
+    memory doesn't grow with a group; the result has ``keys``, ``order``, ``columns`` and the ``outputs``.
+    """
+    names = list(dict.fromkeys([*keys, *order, *columns]))
+    sql = {pa.float64(): "double", pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean"}
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names] + [f"`{n}` {sql[t]}" for n, t in outputs])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, out = b.to_pylist(), []
+            for row in rows:
+                key = tuple(row[k] for k in keys)
+                if state is None or key != last:
+                    state, last = start(), key
+                state, values = step(state, row)
+                out.append(values)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array(c, t) for c, (_, t) in zip(zip(*out), outputs)]], [*names, *[n for n, _ in outputs]])
+
+    return df.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def last_group_start(t: pa.Table, keys: list[str]) -> int:
     """Row at which the last run of equal keys begins; 0 if all rows are one group."""
     n = t.num_rows
