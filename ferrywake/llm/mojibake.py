@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 #: Single-byte encodings that text is commonly written in or read with, the likeliest first.
 ENCODINGS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859-2", "iso8859-9", "iso8859-15", "cp852", "cp866", "koi8-r", "iso8859-5", "cp1253", "cp1257", "mac_latin2", "mac_turkish", "mac_cyrillic", "koi8-u")
 #: Code point ranges of the characters whose garbled forms are looked for.
-REPERTOIRE = ((0xA0, 0x17F), (0x218, 0x21B), (0x2C6, 0x2DD), (0x391, 0x3C9), (0x401, 0x45F), (0x490, 0x491), (0x1E9E, 0x1E9E), (0x2010, 0x2027), (0x202F, 0x203A), (0x20A0, 0x20BF), (0x2116, 0x2126), (0x2190, 0x2199), (0x2200, 0x2265), (0x2500, 0x26FF), (0x2700, 0x27BF), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF), (0x1F300, 0x1F6FF))
+REPERTOIRE = ((0x80, 0x17F), (0x218, 0x21B), (0x2C6, 0x2DD), (0x391, 0x3C9), (0x401, 0x45F), (0x490, 0x491), (0x1E9E, 0x1E9E), (0x2010, 0x2027), (0x202F, 0x203A), (0x20A0, 0x20BF), (0x2116, 0x2126), (0x2190, 0x2199), (0x2200, 0x2265), (0x2500, 0x26FF), (0x2700, 0x27BF), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF), (0x1F300, 0x1F6FF))
 LOST = "�"
 #: A run is replaced if its restored form is so many times more usual, and a document reported from so many times.
 RUN_GAIN, DOC_GAIN = math.log(20), math.log(60)
@@ -76,7 +76,8 @@ def automaton():
 def undo_utf8(text: str, usual: dict[str, int], n: int) -> tuple[str, int]:
     """Replace garbled UTF-8 sequences (longest first), choosing between readings by what most spans of the text agree on; again for text garbled twice.
 
-    A sequence that is far more usual where it stands than what it would become (letters of a Cyrillic word, say) is left.
+    A sequence that is far more usual where it stands than what it would become (letters of a Cyrillic word, say) is left, and so are line drawings
+    that are no less usual than the result.
     """
     spans = 0
     for _ in range(3):
@@ -84,12 +85,16 @@ def undo_utf8(text: str, usual: dict[str, int], n: int) -> tuple[str, int]:
         if not hits:
             break
         votes = Counter(e for _, _, by in hits for e in by)
+        bests = [by[max(by, key=lambda e: (votes[e], -ENCODINGS.index(e)))] for _, _, by in hits]
         out, at, done = [], 0, 0
-        for begin, end, by in hits:
-            best = by[max(by, key=lambda e: (votes[e], -ENCODINGS.index(e)))]
-            stands = min(usual.get(k, 0) for k in contexts(text, begin, end))
-            around = neighbour_class(text[begin - 1] if begin else "") + best + neighbour_class(text[end] if end < len(text) else "")
-            if stands > max(3, 0.01 * n) and stands > 8 * (usual.get(around, 0) + 0.5):
+        for k, (begin, end, _) in enumerate(hits):
+            best = bests[k]
+            stands = min(usual.get(c, 0) for c in contexts(text, begin, end))
+            before = bests[k - 1] if k and hits[k - 1][1] == begin else text[max(0, begin - 1) : begin]
+            after = bests[k + 1] if k + 1 < len(hits) and hits[k + 1][0] == end else text[end : end + 1]
+            around = neighbour_class(before) + best + neighbour_class(after)
+            drawing = all("─" <= c <= "▟" for c in text[begin:end])
+            if (drawing and stands > usual.get(around, 0)) or (stands > max(3, 0.01 * n) and stands > 8 * (usual.get(around, 0) + 0.5)):
                 continue
             out += [text[at:begin], best]
             at = end
