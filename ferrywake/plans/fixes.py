@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ferrywake.session import table
 
 FIXES_SQL = """
-fixes as (select event_id, user_id as vid, event_type as mode, value, cast(ts as timestamp) as ts, cast(epoch_ms(cast(ts as timestamp)) as bigint) as tms,
+fixes as (select event_id, user_id as vid, event_type as mode, value, cast(ts as timestamp) as ts, cast(floor(epoch_us(cast(ts as timestamp)) / 1000.0) as bigint) as tms,
   -0.55 + 0.9 * ((user_id * 7919 + event_id * 31) % 1000) / 1000.0 as lon, 51.25 + 0.47 * ((user_id * 104729 + event_id * 17) % 1000) / 1000.0 as lat
   from events)
 """

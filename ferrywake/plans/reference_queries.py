@@ -233,7 +233,7 @@ def absent_from_poll(spark, d):
     return latest.absent(states, table(spark, d, "bus_wire").select(F.col("i").alias("id")), "id")
 
 
-@query("select user_id, event_id, count(*) over (partition by user_id order by epoch_ms(ts) range between 3599999 preceding and current row) as calls from events")
+@query("select user_id, event_id, count(*) over (partition by user_id order by cast(floor(epoch_us(ts) / 1000.0) as bigint) range between 3599999 preceding and current row) as calls from events")
 def rate_limit_window(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     return latest.trailing_count(e, "user_id", "ms", 3_600_000).select("user_id", "event_id", "calls")
@@ -348,7 +348,7 @@ def london_buckets(spark, d):
     return b.select("fix_id", *[F.get("p", F.lit(k))["bucket"].alias(n) for k, n in enumerate(("day", "week", "month"))])
 
 
-@query("""with t as (select event_id, epoch_ms(ts) as now_ms, cast(floor(value) as integer) % 24 as h, cast(floor(value * 7) as integer) % 60 as m from events),
+@query("""with t as (select event_id, cast(floor(epoch_us(ts) / 1000.0) as bigint) as now_ms, cast(floor(value) as integer) % 24 as h, cast(floor(value * 7) as integer) % 60 as m from events),
 w as (select *, now_ms - now_ms % 86400000 + (h * 60 + m) * 60000 as t0 from t),
 x as (select *, case when t0 - now_ms > 43200000 then t0 - 86400000 else t0 end as t1 from w)
 select event_id, case when now_ms - t1 > 43200000 then t1 + 86400000 else t1 end as at_ms from x""")
