@@ -13,10 +13,13 @@ BITS = 20
 
 
 def _spread(v: Column) -> Column:
-    """Bits of a number below 2**20 moved to the even places."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
+    """Bits of a number below 2**20 moved to the even places, five at a time by a table of 32 (a formula with shifts would repeat ``v`` 32 times)."""
+    table = F.expr("array(" + ", ".join(f"{int(bin(k)[2:], 4)}L" for k in range(32)) + ")")
+    out = None
+    for part in range(4):
+        piece = F.shiftleft(F.get(table, F.shiftright(v, 5 * part).bitwiseAND(F.lit(31)).cast("int")), 10 * part)
+        out = piece if out is None else out.bitwiseOR(piece)
+    return out
 
 
 def z_code(ix: Column, iy: Column) -> Column:

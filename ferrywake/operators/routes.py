@@ -104,7 +104,8 @@ def _matched(fixes: DataFrame, lines: DataFrame) -> DataFrame:
         return pd.DataFrame({"k": f["k"][ok].to_numpy(), "px": pts[ok, 0], "py": pts[ok, 1], "vertex": seg[ok] + (u[ok] >= 0.5), "dist": d[ok]})  # T20
 
     group = ["k", "i", "journey", "chunk"]
-    pieces = fixes.select(*group).distinct().join(lines, "k")
+    left = fixes.select(*group).distinct()
+    pieces = left.toDF(*[f"_{c}" for c in group]).join(lines, F.col("_k") == F.col("k")).select(*[F.col(f"_{c}").alias(c) for c in group], "sx", "sy")
     schema = "k string, px double, py double, vertex int, dist double"
     return fixes.groupBy(*group).cogroup(pieces.groupBy(*group)).applyInPandas(match, schema)
 

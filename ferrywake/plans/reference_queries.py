@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ferrywake.functions import clock, geo, text
 from ferrywake.operators import latest, leaderboard, lookups, network, quality, rail, routes, trains
@@ -562,3 +562,102 @@ def rail_paths(spark, d):
     nodes = table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("b"))
     pairs = nodes.withColumn("a", F.explode(F.array(F.lit("N0"), F.lit("N7")))).where("a <> b")
     return rail.rail_paths(pairs, g).select("a", "b", "len_m")
+
+
+# ---- filters, learners and displays: recursions and polylines that SQL can't say; tested numerically --------------------
+
+
+def _strings(spark, d):
+    """Three lines with ten stops each on the nation table's numbers, as branches."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("n")).where("n < 24")
+    stop = F.struct(F.concat(F.lit("S"), "n").alias("id"), F.concat(F.lit("Stop "), "n").alias("name"), (F.lit(-0.4) + F.col("n") * 0.0145).alias("lon"), F.lit(51.5).alias("lat"))
+    lines = n.select(F.concat(F.lit("line"), F.pmod("n", F.lit(3))).alias("line_id"), "n", stop.alias("s")).groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("v"))
+    out = lines.select("line_id", F.transform("v", lambda x: x["s"]).alias("stops"))
+    seg = F.transform(F.sequence(F.lit(0), F.size("stops") - 2), lambda i: F.transform(F.array(F.get("stops", i), F.get("stops", i + 1)), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))))
+    ahead = out.select("line_id", F.lit(0).alias("branch_id"), F.lit("outbound").alias("direction"), "stops", seg.alias("segments"), F.lit(None).cast("array<int>").alias("run_times"))
+    back = out.withColumn("stops", F.reverse("stops")).select("line_id", F.lit(1).alias("branch_id"), F.lit("inbound").alias("direction"), "stops", seg.alias("segments"), F.lit(None).cast("array<int>").alias("run_times"))
+    return ahead.unionByName(back)
+
+
+def _train_predictions(spark, d):
+    e = table(spark, d, "events")
+    n = F.pmod("user_id", F.lit(24))
+    return e.select(
+        F.concat(F.lit("line"), F.pmod(n, F.lit(3))).alias("line_id"), F.lit(None).cast("string").alias("line_name"), F.when(F.col("event_type") != "error", F.col("user_id").cast("string")).alias("vehicle_id"), F.concat(F.lit("S"), n).alias("naptan_id"),
+        F.concat(F.lit("Stop "), n).alias("station_name"), F.round(F.col("value") * 20).cast("int").alias("time_to_station"), F.when(F.col("event_type") == "click", F.concat(F.lit("Approaching Stop "), n)).otherwise("Between stops").alias("current_location"), F.lit(None).cast("string").alias("platform_name"),
+        F.when(F.col("event_id") % 2 == 0, "outbound").otherwise("inbound").alias("direction"), F.lit(None).cast("string").alias("destination_name"), F.lit(None).cast("string").alias("destination_naptan_id"), F.lit(None).cast("string").alias("towards"), F.col("event_id").alias("ord"),
+    )
+
+
+@query()
+def infer_positions(spark, d):
+    return trains.infer_trains(_train_predictions(spark, d), _strings(spark, d)).drop("segment")
+
+
+@query()
+def kalman_filter(spark, d):
+    from ferrywake.operators.tracking import kalman
+
+    b = table(spark, d, "bus_fixes").where("id is not null and lat is not null and recorded_at is not null")
+    m = b.select(F.col("id").alias("vehicle_id"), F.col("fix_id").alias("ord"), ((F.col("lat") - 51.5) * geo.M_PER_DEG_LAT).alias("s_m"), F.unix_millis("recorded_at").alias("t_ms"), F.lit(225.0).alias("r_var"), F.lit(None).cast("double").alias("v0"))
+    return kalman(m)
+
+
+@query()
+def parked_buses(spark, d):
+    from ferrywake.operators.tracking import parked
+
+    b = table(spark, d, "bus_fixes").where("recorded_at is not null")
+    return parked(b.select("id", F.unix_millis("recorded_at").alias("t_ms"), (F.col("lon") * geo.metres_per_lon()).alias("x"), (F.col("lat") * geo.M_PER_DEG_LAT).alias("y")))
+
+
+def _learned(spark, d):
+    b = table(spark, d, "bus_fixes")
+    t = b.select(F.concat_ws(":", "operator", "line", "direction").alias("k"), F.col("id").alias("i"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.unix_seconds("recorded_at").alias("t"))
+    return routes.learn_routes(t, min_journeys=2, min_fixes=8, min_s=300, min_m=1000.0)
+
+
+@query()
+def learn_route(spark, d):
+    return _learned(spark, d)
+
+
+@query()
+def learner_summary(spark, d):
+    return routes.learner_report(_learned(spark, d))
+
+
+@query()
+def interpolate(spark, d):
+    from ferrywake.operators.tracking import interpolate as show
+
+    t = trains.infer_trains(_train_predictions(spark, d), _strings(spark, d))
+    polls = t.withColumn("poll_ms", F.explode(F.array(F.lit(0).cast("long"), F.lit(10_000).cast("long")))).withColumn("received_at", F.col("poll_ms"))
+    polls = polls.withColumn("time_to_station", F.col("time_to_station") - F.expr("cast(poll_ms / 1000 as int)"))
+    ticks = spark.range(0, 20_000, 5_000).select(F.col("id").alias("t_ms"))
+    return show(polls.select("poll_ms", "key", "line_id", "direction", "segment", "segment_frac", "segment_key", "time_to_station", "run_time_s", "received_at", "synthetic", "destination_id", "next_stop_id", "lon", "lat", "bearing"), ticks)
+
+
+_SIM_SQL = """with l as (select n_nationkey as n, 5000.0 + 700 * n_nationkey as length_m, 36.0 + n_nationkey as kmh, 180 + 10 * n_nationkey as headway from nation),
+j as (select *, length_m / (kmh / 3.6) as journey_s, unnest([1, -1]) as heading from l), k as (select *, unnest(range(0, cast(ceil(journey_s / headway) as bigint) + 1)) as k from j),
+f as (select *, floor((1785000000.0 - case when heading = 1 then 0 else 0.5 * headway end) / headway) * headway + case when heading = 1 then 0 else 0.5 * headway end - k * headway as departed_s from k)
+select 'L' || n as line_id, heading, departed_s, round(case when heading = 1 then (1785000000.0 - departed_s) / journey_s else 1 - (1785000000.0 - departed_s) / journey_s end * length_m, 4) as metres from f where (1785000000.0 - departed_s) / journey_s between 0 and 1"""
+
+
+@query(_SIM_SQL)
+def simulate_trains(spark, d):
+    from ferrywake.operators.tracking import simulate_trains as fly
+
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("n"))
+    poly = F.array(F.struct(F.lit(0.0).alias("lon"), F.lit(51.5).alias("lat")), F.struct(F.lit(0.1).alias("lon"), F.lit(51.6).alias("lat")))
+    lines = n.select(F.concat(F.lit("L"), "n").alias("line_id"), poly.alias("poly"), (F.lit(5000.0) + 700 * F.col("n")).alias("length_m"), (F.lit(36.0) + F.col("n")).alias("speed_kmh"), (F.lit(180) + 10 * F.col("n")).alias("headway_peak_s"), (F.lit(180) + 10 * F.col("n")).alias("headway_off_s"))
+    hours = F.array(*[F.struct(F.lit(0.0).alias("open"), F.lit(24.0).alias("close")) for _ in range(7)])
+    out = fly(lines, hours, [(7.0, 10.0)], 4.0, F.timestamp_seconds(F.lit(1_785_000_000)))
+    return out.select("line_id", "heading", "departed_s", F.round("metres", 4).alias("metres"))
+
+
+@query()
+def assign_nodes(spark, d):
+    s = placed(table(spark, d, "supplier"), "s_suppkey").select(F.col("s_suppkey").alias("sid"), "lat", "lon", F.col("s_suppkey").alias("ord"))
+    n = placed(table(spark, d, "customer"), "c_custkey").select(F.col("c_custkey").alias("nid"), "lat", "lon")
+    return network.assign_distinct(s, n, 1500.0)

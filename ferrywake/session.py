@@ -22,8 +22,18 @@ def local_session(cpus: int = 8, memory: str = "16g") -> SparkSession:
     )
 
 
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package wherever the driver was started; on a cluster it is shipped with the job."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
