@@ -21,15 +21,15 @@ RIVER_LINES = ("rb1", "rb4", "rb6", "woolwich-ferry")
 TOP = 20
 
 
-def outcomes(fixes: DataFrame, max_gap_ms: int = MAX_GAP_MS, min_move_m: float = MIN_MOVE_M, caps: dict[str, float] | float = 40.0, time_policy: str = "tick", chunk_ms: int = 7 * 86_400_000) -> DataFrame:
+def outcomes(fixes: DataFrame, max_gap_ms: int = MAX_GAP_MS, min_move_m: float = MIN_MOVE_M, caps: dict[str, float] | float = 40.0, time_policy: str = "tick", chunk_rows: int = 1_000_000) -> DataFrame:
     """Each fix with ``gap_ms``, ``move_m`` and ``outcome``: 'first', 'gap', 'jitter', 'teleport' or 'ok' (W1).
 
     ``fixes``: mode, id, label, line_id, lat, lon, t_ms, tick_ms, ord (arrival number). ``time_policy`` 'tick' measures gaps
-    between ticks, 'fix' between fix times (T2). Rows with a null id, position, time or ord don't count.
+    between ticks, 'fix' between fix times (T2). A vehicle's fixes are windowed in pieces of ``chunk_rows`` arrival numbers. Rows with a null id, position, time or ord don't count.
     """
     time = "tick_ms" if time_policy == "tick" else "t_ms"
     base = fixes.where(F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col(time).isNotNull() & F.col("tick_ms").isNotNull() & F.col("ord").isNotNull())
-    lagged = lag_across(base.withColumn("_chunk", floor_div(F.col("tick_ms"), chunk_ms)), ["id"], "_chunk", ["ord"], ["lat", "lon", time])
+    lagged = lag_across(base.withColumn("_chunk", floor_div(F.col("ord"), chunk_rows)), ["id"], "_chunk", ["ord"], ["lat", "lon", time])
     gap = F.col(time) - F.col("prev_" + time)
     move = haversine(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
     if isinstance(caps, dict):

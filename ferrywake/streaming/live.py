@@ -148,13 +148,14 @@ def add_credits(facts: DataFrame, batch: DataFrame) -> DataFrame:
     return both.groupBy("mode", "period", "bucket", "id").agg(F.sum("m").alias("m"), F.max_by("label", "last_ord").alias("label"), F.min_by("line_id", "first_ord").alias("line_id"), F.min("first_ord").alias("first_ord"), F.max("last_ord").alias("last_ord"))
 
 
-def board_sink(stream: DataFrame, folder: str, checkpoint: str, seconds: int = 15) -> DataStreamWriter:
+def board_sink(stream: DataFrame, folder: str, checkpoint: str, seconds: int | None = 15) -> DataStreamWriter:
     """Writer that keeps the board as numbered snapshots (R1, R3, K3): each batch reads the last, adds its credits and writes the next, so a
-    replayed batch writes the same snapshot again."""
+    replayed batch writes the same snapshot again. Without ``seconds`` it takes what is there and ends."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = load_facts(spark, f"{folder}/snapshot={number - 1}")
         add_credits(before, batch).write.mode("overwrite").parquet(f"{folder}/snapshot={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds")
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
