@@ -22,6 +22,8 @@ LAST_FIX_TTL_MS, VESSEL_TTL_MS = 900_000, 600_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    """State store for the keyed processors; batches run only when there is data, and state that has outlived its time is hidden on reading."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -156,6 +158,8 @@ def board_sink(stream: DataFrame, folder: str, checkpoint: str, seconds: int | N
         spark = batch.sparkSession
         before = load_facts(spark, f"{folder}/snapshot={number - 1}")
         add_credits(before, batch).write.mode("overwrite").parquet(f"{folder}/snapshot={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot={number - 3}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
