@@ -14,13 +14,17 @@ from ferrywake.operators.trips import stops_and_trips
 from ferrywake.session import table
 
 
-def p1_grid(spark: SparkSession, d: str) -> DataFrame:
+def _grid(spark: SparkSession, d: str) -> DataFrame:
     readings = table(spark, d, "tide_readings").select("ref", "reading_at", "level_m", "reading_id").withColumn("us", iso_micros(F.col("reading_at")))
     return regular_grid(readings, "ref", "us", "level_m", "reading_id")
 
 
+def p1_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d).withColumn("mean", F.round("mean", 5) + F.lit(0.0)).withColumn("coverage", F.round("coverage", 6))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_grid(spark, d).where("n_readings = 0").select("ref", "slot_s")
+    return _grid(spark, d).where("n_readings = 0").select("ref", "slot_s")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,12 +86,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _USABLE = """
 with usable as (
-  select ref, try_cast(reading_at as timestamptz) as tm from tide_readings
+  select ref, reading_id, level_m, try_cast(reading_at as timestamptz) as tm from tide_readings
   where level_m is not null and regexp_matches(reading_at, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T') and ref is not null),
 slots as (select ref, cast(floor(epoch(tm) / 900) as bigint) as s from usable where tm is not null)
 """
 
+_CELL = "least(fin, (c + 1) * 900000000) - greatest(us, c * 900000000)"
+
 SQL = {
+    "p1_grid": _USABLE + f""", once as (select ref, epoch_us(tm) as us, arg_min(level_m, reading_id) as v from usable where tm is not null group by 1, 2),
+iv as (select *, least(us + 3600000000, coalesce(lead(us) over (partition by ref order by us), us + 3600000000)) as fin from once),
+cell as (select *, unnest(range(cast(floor(us / 900000000.0) as bigint), cast(floor((fin - 1) / 900000000.0) as bigint) + 1)) as c from iv),
+agg as (select ref, c, count(*) filter (where us >= c * 900000000) as n, sum(v * cast({_CELL} as double)) as vw, sum(cast({_CELL} as double)) as w from cell group by ref, c),
+span as (select ref, cast(floor(min(us) / 900000000.0) as bigint) as lo, cast(floor(max(us) / 900000000.0) as bigint) as hi from once group by ref),
+grid as (select ref, unnest(range(lo, hi + 1)) as c from span)
+select ref, c * 900 as slot_s, coalesce(n, 0) as n_readings, round(vw / w, 5) + 0.0 as mean, round(coalesce(w, 0) / 900000000.0, 6) as coverage,
+  case when coalesce(n, 0) > 0 then 'read' when w > 0 then 'filled' else 'missing' end as state from grid left join agg using (ref, c)""",
     "p1_found": _USABLE + """, span as (select ref, min(s) as lo, max(s) as hi from slots group by ref),
 all_slots as (select ref, unnest(range(lo, hi + 1)) as s from span)
 select ref, cast(s * 900 as bigint) as slot_s from all_slots anti join (select distinct ref, s from slots) using (ref, s)""",

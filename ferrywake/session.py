@@ -44,9 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = context.getConf().get("spark.checkpoint.dir", None)
     if named is None:
+        import atexit
+        import shutil
         import tempfile
 
-        named = "file://" + tempfile.mkdtemp(prefix=f"ferrywake-{os.getpid()}-")
+        own = tempfile.mkdtemp(prefix=f"ferrywake-{os.getpid()}-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
     context.setCheckpointDir(named)
 
 
