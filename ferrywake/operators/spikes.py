@@ -88,7 +88,9 @@ def off_course(t: np.ndarray, x: np.ndarray, p: Profile, skip: np.ndarray) -> np
         if p.rest is None:
             b = max(lam * _scale(step), p.step_floor)
         else:
-            active = np.abs(xs[np.abs(xs) > p.rest])
+            # held values are real, only old, so they tell the source's usual level too
+            real = x[(x >= p.low) & (x <= p.high) & (skip | ~bad)]
+            active = np.abs(real[np.abs(real) > p.rest])
             level = np.quantile(active, 0.75) if len(active) >= 10 and len(active) > 0.02 * m else 8.0
             b = max(1.35 * level, p.step_floor)
         jump = (step > b) & ~silent
