@@ -51,6 +51,7 @@ TIDE_LEVEL = Profile(low=-50.0, high=50.0, step_floor=0.3 / 900, value_floor=0.2
 
 WINDOW = 11
 LONG_RUN = 6
+ALL_THREE = 3**0.5
 
 
 def running_median(x: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -71,6 +72,42 @@ def _scale(v: np.ndarray) -> float:
     return float(np.quantile(v, 0.95)) / 1.96 if len(v) else 0.0
 
 
+def _joint_excursions(u: np.ndarray, rates: np.ndarray, dx: np.ndarray, silent: np.ndarray, a: float, b: float, lam: float) -> np.ndarray:
+    """Rows of excursions that lie outside the ellipsoid with axes ``a``, ``b`` and ``2 b`` by all three coordinates together.
+
+    An excursion of up to half a window leaves the course on one side and comes back. At least half of its value is made by either step, and
+    most of the steps by its value, and the steps are half of what the ellipsoid allows; else it is a turn of the course, a change of level or the
+    true neighbour of a spike. The coordinates rise together, so the ellipsoid is widened until the source's own cloud lies inside.
+    """
+    m = len(u)
+    out = np.zeros(m, bool)
+    s = np.abs(rates)
+    if not (s > 0.5 * b).any():  # the steps are too small whatever the value
+        return out
+    d1 = np.maximum(np.concatenate(([0.0], s)), np.concatenate((s, [0.0])))
+    d2 = np.abs(np.diff(np.concatenate(([0.0], rates, [0.0]))))
+    radius = max(1.0, lam * _scale(np.sqrt((u / a) ** 2 + (d1 / b) ** 2 + (d2 / (2 * b)) ** 2)))
+    gaps = np.concatenate(([0], np.cumsum(silent)))
+    large = s > 0.5 * radius * b
+    for size in range(1, WINDOW // 2 + 1):
+        if m < size + 2:
+            break
+        # both steps are seen, and one of them is large
+        first = np.flatnonzero((large[:-size] | large[size:]) & (rates[:-size] * rates[size:] < 0)) + 1
+        if not len(first):
+            continue
+        side = np.sign(u[first])
+        inside = np.lib.stride_tricks.sliding_window_view(u, size)[first] * side[:, None]
+        low, high = inside.min(axis=1), inside.max(axis=1)
+        come, back = side * dx[first - 1], -side * dx[first + size - 1]
+        r1, r2 = side * rates[first - 1], -side * rates[first + size - 1]
+        steps2 = (np.maximum(r1, r2) / b) ** 2 + ((r1 + r2) / (2 * b)) ** 2
+        own = (low > 0) & (np.minimum(come, back) >= 0.5 * high) & (low >= 0.4 * np.maximum(come, back)) & (gaps[first - 1] == gaps[first + size])
+        for i in first[own & (steps2 > 0.5 * radius * radius) & (steps2 + (low / a) ** 2 > radius * radius)]:
+            out[i : i + size] = True
+    return out
+
+
 def off_course(t: np.ndarray, x: np.ndarray, p: Profile, skip: np.ndarray) -> np.ndarray:
     """Values outside the robust ellipsoids in phase space, found iteratively; ``t`` in seconds, increasing; ``skip`` marks rows already taken out."""
     bad = skip.copy()
@@ -94,13 +131,11 @@ def off_course(t: np.ndarray, x: np.ndarray, p: Profile, skip: np.ndarray) -> np
             level = np.quantile(active, 0.75) if len(active) >= 10 and len(active) > 0.02 * m else 8.0
             b = max(1.35 * level, p.step_floor)
         jump = (step > b) & ~silent
-        if not jump.any():
+        # an axis that isn't the source's own spread is what one coordinate alone may reach, which a lone reading does in all three at once
+        wide_b = max(b if p.rest is None else lam * _scale(step), ALL_THREE * (p.step_floor if p.rest is None else b))
+        if not jump.any() and not ((step > 0.5 * wide_b) & ~silent).any():
             break
-        # second differences: an excursion has two opposite jumps, a change of level only one
-        cut = jump | silent
         spell = np.concatenate(([0], np.cumsum(silent)))
-        seg = np.concatenate(([0], np.cumsum(cut)))
-        before, after = np.concatenate(([False], jump)), np.concatenate((jump, [False]))
         u = np.empty(m)
         bounds = np.flatnonzero(np.diff(spell)) + 1
         wide = None
@@ -114,18 +149,19 @@ def off_course(t: np.ndarray, x: np.ndarray, p: Profile, skip: np.ndarray) -> np
         au = np.abs(u)
         a = max(lam * _scale(au), p.value_floor) if p.rest is None else b
         a = min(a, 4 * p.value_floor) if p.rest is None else a
+        rates = np.where(silent, 0.0, np.sign(dx) * step)
+        joint = _joint_excursions(u, rates, dx, silent, max(lam * _scale(au), ALL_THREE * (p.value_floor if p.rest is None else a)), wide_b, lam)
+        # beyond the ellipsoid by its value and a step each alone: all that can be told where only one side is seen
+        seg = np.concatenate(([0], np.cumsum(jump | silent)))
         n_seg = seg[-1] + 1
-        seg_jump = np.bincount(seg, before | after, n_seg) > 0
-        d1 = np.maximum(np.concatenate(([0.0], np.where(silent, 0, step))), np.concatenate((np.where(silent, 0, step), [0.0])))
-        d2 = np.zeros(m)
-        d2[1:-1] = np.abs(np.diff(np.where(silent, 0, np.sign(dx) * step)))
-        d2[0], d2[-1] = d1[0], d1[-1]
-        outside = (au / a) ** 2 + (d1 / b) ** 2 + (d2 / (2 * b)) ** 2 > 1
-        seg_out = np.bincount(seg, outside & (before | after), n_seg) > 0
+        beside = np.concatenate(([False], jump)) | np.concatenate((jump, [False]))
         brief = np.bincount(seg, minlength=n_seg) <= WINDOW // 2  # longer than that and it is the course
-        hit = (au > a) & (seg_jump & seg_out & brief)[seg]
+        hit = joint | (au > a) & (brief & (np.bincount(seg, beside, n_seg) > 0))[seg]
         if not hit.any():
             break
+        # an excursion found jointly is a segment of its own
+        seg = np.concatenate(([0], np.cumsum(jump | silent | (joint[1:] != joint[:-1]))))
+        n_seg = seg[-1] + 1
         # within an iteration only the farthest of neighbouring segments goes, the others are judged anew
         far = np.zeros(n_seg)
         np.maximum.at(far, seg[hit], au[hit])

@@ -79,3 +79,12 @@ def test_empty(spark):
 @pytest.mark.parametrize("n", [0, 1, 2, 3])
 def test_short_series(n):
     assert not flag_series(np.arange(n) * 60.0, np.ones(n), None, TIDE_LEVEL).any()
+
+
+def test_jointly_outside_the_ellipsoid():
+    # high water of a gauge with a large range: 0.75 m are less than an axis of steps, but value and both differences together lie outside
+    t, x = tide(amp=6.0)
+    x[np.argmax(x)] += 0.75
+    code = flag_series(t, x, None, TIDE_LEVEL)
+    assert np.flatnonzero(code).tolist() == [int(np.argmax(x))] and code.max() == 2
+    assert not flag_series(*tide(amp=6.0), None, TIDE_LEVEL).any()
