@@ -4,7 +4,8 @@ Garbled sequences are computed beforehand for all encoding pairs. Where UTF-8 wa
 character gives a sequence of its own; a multi-pattern automaton finds these, and only matched spans are replaced. Where one single-byte
 encoding was read as another, a character maps to one character, which proves nothing alone; there a run of characters is replaced if the
 restored characters are far more usual between such neighbours than the ones that stand there. What is usual is counted over all
-documents (document frequencies of a character between two classes of neighbours, a table bounded by the repertoire).
+distinct texts, so that copies of a garbled text don't make it usual, and over all documents (frequencies of a character between two
+classes of neighbours, tables bounded by the repertoire); either may prove the damage.
 U+FFFD marks loss that can't be undone.
 """
 
@@ -29,6 +30,8 @@ LOST = "�"
 #: A run is replaced if its restored form is so many times more usual, and a document reported from so many times.
 RUN_GAIN, DOC_GAIN = math.log(20), math.log(60)
 RUN = re.compile(r"[^\x00-\x7f]+")
+#: Prefix of contexts counted outside of garbled sequences only: what garbled text brings along doesn't make itself usual.
+APART = "\0"
 
 
 @lru_cache
@@ -73,11 +76,11 @@ def automaton():
     return a
 
 
-def undo_utf8(text: str, usual: dict[str, int], n: int) -> tuple[str, int]:
+def undo_utf8(text: str, usual: dict[str, int]) -> tuple[str, int]:
     """Replace garbled UTF-8 sequences (longest first), choosing between readings by what most spans of the text agree on; again for text garbled twice.
 
-    A sequence that is far more usual where it stands than what it would become (letters of a Cyrillic word, say) is left, and so are line drawings
-    that are no less usual than the result.
+    A sequence whose characters are, apart from such sequences, far more usual where they stand than what they would become (letters of a Cyrillic
+    word, say) is left, and so are line drawings that are no less usual than the result.
     """
     spans = 0
     for _ in range(3):
@@ -89,12 +92,13 @@ def undo_utf8(text: str, usual: dict[str, int], n: int) -> tuple[str, int]:
         out, at, done = [], 0, 0
         for k, (begin, end, _) in enumerate(hits):
             best = bests[k]
-            stands = min(usual.get(c, 0) for c in contexts(text, begin, end))
+            stands = min(usual.get(APART + c, 0) for c in contexts(text, begin, end))
             before = bests[k - 1] if k and hits[k - 1][1] == begin else text[max(0, begin - 1) : begin]
             after = bests[k + 1] if k + 1 < len(hits) and hits[k + 1][0] == end else text[end : end + 1]
             around = neighbour_class(before) + best + neighbour_class(after)
             drawing = all("─" <= c <= "▟" for c in text[begin:end])
-            if (drawing and stands > usual.get(around, 0)) or (stands > max(3, 0.01 * n) and stands > 8 * (usual.get(around, 0) + 0.5)):
+            becomes = usual.get(APART + around, 0)
+            if (drawing and stands >= becomes) or stands > 8 * (becomes + 0.5):
                 continue
             out += [text[at:begin], best]
             at = end
@@ -128,28 +132,51 @@ def known_characters() -> frozenset[str]:
     return frozenset(c for e in ENCODINGS for c in table(e) if not c.isascii()) | frozenset(chr(x) for low, high in REPERTOIRE for x in range(low, high + 1))
 
 
-def usual_contexts(documents: DataFrame, text: str) -> tuple[dict[str, int], int]:
-    """Document frequency of each context over all documents, and the number of documents.
+def usual_contexts(documents: DataFrame, text: str) -> tuple[tuple[dict[str, int], int], tuple[dict[str, int], int]]:
+    """Frequency of each context (again, with `APART`, outside of garbled sequences) and the number of texts: over distinct texts, and over documents.
 
-    At most (characters of the repertoire, about 3,500) x 8 x 8 entries, however many documents there are.
+    At most 2 x (characters of the repertoire, about 3,500) x 8 x 8 entries, however many documents there are.
     """
-    source = documents.select(F.col(text).alias("text")).where("text is not null")
+    t = F.col(text)
+    # ASCII texts are only counted, so their text isn't shuffled
+    source = documents.where(t.isNotNull()).select(F.md5(t).alias("h"), F.when(F.octet_length(t) > F.length(t), t).alias("text")).groupBy("h").agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("text", "copies")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_characters()
+        once: Counter[str] = Counter()
         total: Counter[str] = Counter()
-        n = 0
         for b in batches:
-            for t in b.column("text").to_pylist():
-                n += 1
-                if not t.isascii():
-                    total.update({k for m in RUN.finditer(t) for k in contexts(t, m.start(), m.end()) if k[1] in known})
-        total[""] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["key", "n"])
-
-    rows = source.mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    found = {r.key: r.n for r in rows}
-    return found, found.pop("", 0)
+            for t, copies in zip(b.column("text").to_pylist(), b.column("copies").to_pylist()):
+                found = {""}
+                if t is not None:
+                    garbled = {i for end, (size, _) in automaton().iter_long(t) for i in range(end - size + 1, end + 1)}
+                    for m in RUN.finditer(t):
+                        for i, k in enumerate(contexts(t, m.start(), m.end()), m.start()):
+                            if k[1] in known:
+                                found.add(k)
+                                if i not in garbled:
+                                    found.add(APART + k)
+                for k in found:
+                    once[k] += 1
+                    total[k] += copies
+        yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.string()), pa.array(list(once.values()), pa.int64()), pa.array([total[k] for k in once], pa.int64())], ["key", "once", "total"])
+
+    rows = source.mapInArrow(count, "key string, once long, total long").groupBy("key").agg(F.sum("once").alias("once"), F.sum("total").alias("total")).collect()
+    once, total = {r.key: r.once for r in rows}, {r.key: r.total for r in rows}
+    return (once, once.pop("", 0)), (total, total.pop("", 0))
+
+
+def most_usual_forms(usual: dict[str, int]) -> dict[str, float]:
+    """For each character the logarithm of the greatest frequency, over all neighbours, of what it may stand for: a bound of any gain."""
+    best: dict[str, int] = {}
+    for k, c in usual.items():
+        if k[0] == APART and len(k) == 4:
+            best[k[2]] = max(best.get(k[2], 0), c)
+    out: dict[str, float] = {}
+    for _, _, m in pair_maps():
+        for w, t in m.items():
+            out[w] = max(out.get(w, -math.inf), math.log(best.get(t, 0) + 0.5))
+    return out
 
 
 @lru_cache
@@ -168,45 +195,59 @@ ALONE = 0.25
 REPEATED = re.compile(r"(.)\1\1")
 
 
-def undo_single(text: str, usual: dict[str, int], n: int) -> tuple[str, int]:
+def readings(before: str, run: str, after: str, usual: dict[str, int], forms: dict[str, float], known: dict[tuple, dict]) -> dict[int, tuple[str, float, int]]:
+    """By index of the pair: restored run, gain (at least `RUN_GAIN`) and least frequency. Depends on the neighbours' classes only, so it is kept in ``known``."""
+    key = (neighbour_class(before), run, neighbour_class(after))
+    if key in known:
+        return known[key]
+    text = before + run + after
+    logs = [math.log(usual.get(k, 0) + 0.5) for k in contexts(text, len(before), len(before) + len(run))]
+    out: dict[int, tuple[str, float, int]] = {}
+    if REPEATED.search(run) is None and sum(max(0.0, forms.get(c, -math.inf) - s) for c, s in zip(run, logs)) >= RUN_GAIN:
+        gains: dict[str, tuple[str, float, int]] = {}
+        for p, (_, _, m) in enumerate(pair_maps()):
+            new = "".join(m.get(c, c) for c in run)
+            if new == run:
+                continue
+            if new not in gains:
+                counts = [usual.get(APART + k, 0) for k in contexts(before + new + after, len(before), len(before) + len(new))]
+                gains[new] = (new, sum(math.log(c + 0.5) for c in counts) - sum(logs), min(counts))
+            if gains[new][1] >= RUN_GAIN:
+                out[p] = gains[new]
+    if len(known) < 100_000:
+        known[key] = out
+    return out
+
+
+def undo_single(text: str, usual: dict[str, int], n: int, forms: dict[str, float], known: dict[tuple, dict]) -> tuple[str, int]:
     """Replace runs that read as another single-byte encoding; of all pairs the one that explains the text best.
 
-    Evidence are runs with an unusual character between its neighbours. A character repeated three times is a drawing, and a lone one between
-    blanks counts only for what is very usual there (a dash); both are replaced only in texts that other runs prove garbled.
+    Evidence are runs whose restored form is far more usual, however usual they are themselves. A character repeated three times is a drawing, and a lone one
+    between blanks counts only for what is very usual there (a dash); both are replaced only in texts that other runs prove garbled.
+    ``forms`` (see `most_usual_forms`) and ``known`` only spare work.
     """
-    rare = max(3.0, 0.004 * n)
-    runs: list[tuple[int, int, float, bool]] = []
-    proof = False
-    for m in RUN.finditer(text):
-        b, e = m.span()
-        counts = [usual.get(k, 0) for k in contexts(text, b, e)]
-        if min(counts) <= rare:
-            drawn = REPEATED.search(m.group()) is not None
-            runs.append((b, e, sum(math.log(c + 0.5) for c in counts), drawn))
-            proof = proof or not drawn
-    if not proof:
-        return text, 0
-    chars = {c for b, e, _, _ in runs for c in text[b:e]}
-    best: tuple[float, list[tuple[int, int, str]]] = (0.0, [])
-    for _, _, m in pair_maps():
-        if chars.isdisjoint(m):
-            continue
-        evidence, total, found = 0.0, 0.0, []
-        for b, e, s, drawn in runs:
-            new = "".join(m.get(c, c) for c in text[b:e])
-            if drawn or new == text[b:e]:
-                continue
-            around = text[b - 1 : b] + new + text[e : e + 1]
-            counts = [usual.get(k, 0) for k in contexts(around, min(b, 1), min(b, 1) + len(new))]
-            gain = sum(math.log(c + 0.5) for c in counts) - s
-            if gain < RUN_GAIN:
-                total += min(gain, 0.0) * 0.1
+    runs = [(m.start(), m.end(), readings(text[max(0, m.start() - 1) : m.start()], m.group(), text[m.end() : m.end() + 1], usual, forms, known)) for m in RUN.finditer(text)]
+    evidence: Counter[int] = Counter()
+    gained: Counter[int] = Counter()
+    for b, e, by in runs:
+        alone = (not b or text[b - 1].isspace()) and (e == len(text) or text[e].isspace())
+        for p, (_, gain, least) in by.items():
+            gained[p] += gain
+            evidence[p] += gain if not alone or least >= ALONE * n else 0.0
+    best: tuple[float, list[tuple[int, int, str]]] = (-math.inf, [])
+    for p in sorted(p for p in evidence if evidence[p] >= DOC_GAIN):
+        m, total, found = pair_maps()[p][2], gained[p], []
+        for b, e, by in runs:
+            if p in by:
+                found.append((b, e, by[p][0]))
                 continue
-            alone = (not b or text[b - 1].isspace()) and (e == len(text) or text[e].isspace())
-            total += gain
-            evidence += gain if not alone or min(counts) >= ALONE * n else 0.0
-            found.append((b, e, new))
-        if evidence >= DOC_GAIN and total > best[0] + 1e-9:
+            # sound runs beside garbled ones only decide between pairs
+            new = "".join(m.get(c, c) for c in text[b:e])
+            if new != text[b:e] and REPEATED.search(text[b:e]) is None:
+                around = text[max(0, b - 1) : b] + new + text[e : e + 1]
+                after = sum(math.log(usual.get(APART + k, 0) + 0.5) for k in contexts(around, min(b, 1), min(b, 1) + len(new)))
+                total += min(after - sum(math.log(usual.get(k, 0) + 0.5) for k in contexts(text, b, e)), 0.0) * 0.1
+        if total > best[0] + 1e-9:
             best = (total, found)
     out, at = [], 0
     for b, e, new in best[1]:
@@ -215,17 +256,25 @@ def undo_single(text: str, usual: dict[str, int], n: int) -> tuple[str, int]:
     return "".join([*out, text[at:]]), len(best[1])
 
 
-def repair(text: str, usual: dict[str, int], n: int) -> tuple[str, int, int, bool]:
-    """(restored text, garbled UTF-8 spans, garbled single-byte runs, whether something is lost)."""
+def undo_either(text: str, tables: list[tuple]) -> tuple[str, int]:
+    for t in tables:
+        fixed, runs = undo_single(text, *t)
+        if runs:
+            return fixed, runs
+    return text, 0
+
+
+def repair(text: str, tables: list[tuple]) -> tuple[str, int, int, bool]:
+    """With what is usual among distinct texts and among documents: (restored text, garbled UTF-8 spans, garbled single-byte runs, whether something is lost)."""
     if text.isascii() and "&" not in text:
         return text, 0, 0, False
-    fixed, multi = undo_utf8(text, usual, n)
-    fixed, single = undo_single(fixed, usual, n)
+    fixed, multi = undo_utf8(text, tables[-1][0])
+    fixed, single = undo_either(fixed, tables)
     lost = LOST in text
     if not multi and not single and not lost and "&" in text and (plain := html.unescape(text)) != text:
         # garbled first and escaped for the web later: escaping alone is no damage
-        undone, multi = undo_utf8(plain, usual, n)
-        undone, single = undo_single(undone, usual, n)
+        undone, multi = undo_utf8(plain, tables[-1][0])
+        undone, single = undo_either(undone, tables)
         lost = LOST in plain
         if multi or single or lost:
             fixed = undone
@@ -238,15 +287,15 @@ def garbled_documents(documents: DataFrame, doc_id: str, text: str) -> DataFrame
     ``restored`` is the whole text with the matched spans replaced, else untouched; ``lost`` tells that it still has characters that can't be
     restored. Null, empty and blank texts are never affected; text merely escaped for the web isn't either. Repeated rows are judged alike.
     """
-    usual, n = usual_contexts(documents, text)
+    tables = [(usual, n, most_usual_forms(usual), {}) for usual, n in usual_contexts(documents, text)]
     source = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("text is not null")
-    shared = source.sparkSession.sparkContext.broadcast((usual, n))
+    shared = source.sparkSession.sparkContext.broadcast(tables)
     kind = documents.schema[doc_id].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        usual, n = shared.value
+        tables = shared.value
         for b in batches:
-            rows = [(i, *repair(t, usual, n)) for i, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist())]
+            rows = [(i, *repair(t, tables)) for i, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist())]
             rows = [r for r in rows if r[2] or r[3] or r[4]]
             columns = list(zip(*rows)) if rows else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays(

@@ -40,3 +40,18 @@ def test_long_text_is_read_to_its_end(spark):
 
 def test_empty(spark):
     assert found(spark, []) == {}
+
+
+def test_copies_of_a_garbled_text_prove_nothing(spark):
+    good = "Le café près de l’église est fermé."
+    single = good.encode("mac_roman").decode("cp437")
+    multi = "Próxima estación: España.".encode().decode("latin-1")
+    out = found(spark, CLEAN + [f"{t} {k}" for k, t in enumerate(CLEAN)] + [single] * 200 + [multi] * 200)
+    assert sorted(out) == list(range(2 * len(CLEAN), 2 * len(CLEAN) + 400))
+    assert out[2 * len(CLEAN)].restored == good and out[2 * len(CLEAN) + 200].restored == "Próxima estación: España."
+
+
+def test_texts_of_a_garbling_source_prove_nothing(spark):
+    multi = "Próxima estación: España.".encode().decode("latin-1")
+    out = found(spark, [f"{t} {k}" for k, t in enumerate(CLEAN)] + [f"{multi} {k}" for k in range(2000)])
+    assert sorted(out) == list(range(len(CLEAN), len(CLEAN) + 2000))
