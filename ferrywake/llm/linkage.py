@@ -105,9 +105,9 @@ def link(
     heaviest = F.max("weight").over(Window.partitionBy("bid"))
     pruned = edges.withColumn("top", heaviest).where((F.col("weight") >= keep * F.col("top")) | F.col("cell")).select("aid", "bid", "cell")
 
-    generic = [r.key[2:] for r in da.where("na >= 12 and key like 't:%'").limit(500).collect()]
-    common = F.array(*[F.lit(g) for g in generic]) if generic else F.array().cast("array<string>")
-    pairs = pruned.join(a.select(F.col("rid").alias("aid"), F.col("names").alias("an"), F.col("lat").alias("alat"), F.col("lon").alias("alon")), "aid")
+    generic = da.where("na >= 12 and key like 't:%'").agg(F.collect_list(F.substring("key", 3, 2**31 - 1)).alias("generic"))
+    common = F.col("generic")
+    pairs = pruned.crossJoin(F.broadcast(generic)).join(a.select(F.col("rid").alias("aid"), F.col("names").alias("an"), F.col("lat").alias("alat"), F.col("lon").alias("alon")), "aid")
     pairs = pairs.join(b.select(F.col("rid").alias("bid"), F.col("names").alias("bn"), F.col("lat").alias("blat"), F.col("lon").alias("blon")), "bid")
     name = F.array_max(F.flatten(F.transform("an", lambda x: F.transform("bn", lambda y: _name_similarity(x, y, common)))))
     pairs = pairs.withColumn("name", F.when((F.size("an") > 0) & (F.size("bn") > 0), name)).withColumn("metres", haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))

@@ -131,8 +131,10 @@ def station_neighbours(segments: DataFrame, zone: DataFrame, most_m: float = 25_
     """
     if segments.limit(most_segments + 1).count() > most_segments:
         raise ValueError(f"more than {most_segments} segments")
+    if zone.limit(most_segments + 1).count() > most_segments:
+        raise ValueError(f"more than {most_segments} nodes in zones")
     rows = [r.asDict(recursive=True) for r in segments.select("a", "b", "len_m").collect()]
-    homes = {r.nid: (r.sid, r.lat, r.lon) for r in zone.select("nid", "sid", "lat", "lon").limit(most_segments).collect()}
+    homes = {r.nid: (r.sid, r.lat, r.lon) for r in zone.select("nid", "sid", "lat", "lon").collect()}
     shared = segments.sparkSession.sparkContext.broadcast((rows, homes))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
