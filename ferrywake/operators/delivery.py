@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 def _ranked(df: DataFrame, ids: list[str], order: str, salts: int) -> DataFrame:
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(order)), F.lit(salts)))
-    inner = salted.withColumn("_first", F.row_number().over(Window.partitionBy(*ids, "_salt").orderBy(order)) == 1)
-    return inner.withColumn("_level", F.col("_first").cast("int"))
+    return salted.withColumn("_first", F.row_number().over(Window.partitionBy(*ids, "_salt").orderBy(order)) == 1)
 
 
 def _identified(ids: list[str]) -> Column:
@@ -33,9 +32,10 @@ def repeated_deliveries(df: DataFrame, ids: list[str], order: str, salts: int =
     narrow = df.select(*[F.col(c).alias(f"_id{k}") for k, c in enumerate(ids)], F.col(order).alias("_order"))
     keys = [f"_id{k}" for k in range(len(ids))]
     marked = _ranked(narrow.where(_identified(keys) & F.col("_order").isNotNull()), keys, "_order", salts)
-    late = marked.where(~F.col("_first")).select("_order")
-    winners = marked.where("_first").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_order")))
-    return late.unionByName(winners.where("_n > 1").select("_order")).withColumnRenamed("_order", order)
+    # one pass: a salt's winners meet in one group of their message, what lost stays where it is
+    group = F.when(F.col("_first"), -1).otherwise(F.col("_salt"))
+    placed = marked.withColumn("_group", group).withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_group").orderBy("_order")))
+    return placed.where(~F.col("_first") | (F.col("_n") > 1)).select("_order").withColumnRenamed("_order", order)
 
 
 def keep_first_delivery(df: DataFrame, ids: list[str], order: str, salts: int = 256) -> DataFrame:

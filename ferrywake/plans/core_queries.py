@@ -36,9 +36,11 @@ def p3_once(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Even batches are what is stored; the odd ones arrive: only messages not stored yet, each once."""
+    """The batches before the middle of the poll numbers are stored, all others arrive: only messages not stored yet, each once."""
     wire = table(spark, d, "bus_wire")
-    return new_messages(wire.where("batch_no % 2 = 0"), wire.where("batch_no % 2 = 1"), ["i", "t"], "delivery_id").select("delivery_id", "i", "t")
+    middle = wire.agg(F.expr("(min(batch_no) + max(batch_no)) div 2")).first()[0]
+    stored = F.coalesce(F.col("batch_no") <= F.lit(middle), F.lit(False))
+    return new_messages(wire.where(stored), wire.where(~stored), ["i", "t"], "delivery_id").select("delivery_id", "i", "t")
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +111,9 @@ select ref, cast(s * 900 as bigint) as slot_s from all_slots anti join (select d
 from bus_wire where i is not null and t is not null) where n > 1""",
     "p3_once": """select delivery_id, batch_no, i, l, o, r, d, x, y, b, t from (select *, row_number() over (partition by i, t order by delivery_id) as n
 from bus_wire) where n = 1 or i is null or t is null""",
-    "p3_batches": """select delivery_id, i, t from (select *, row_number() over (partition by i, t order by delivery_id) as n from bus_wire where batch_no % 2 = 1) as w
-where (i is null or t is null) or (n = 1 and not exists (select 1 from bus_wire as s where s.batch_no % 2 = 0 and s.i = w.i and s.t = w.t))""",
+    "p3_batches": """with m as (select (min(batch_no) + max(batch_no)) // 2 as middle from bus_wire), parted as (select *, coalesce(batch_no <= (select middle from m), false) as stored from bus_wire)
+select delivery_id, i, t from (select *, row_number() over (partition by i, t order by delivery_id) as n from parted where not stored) as w
+where (i is null or t is null) or (n = 1 and not exists (select 1 from parted as s where s.stored and s.i = w.i and s.t = w.t))""",
     "p6_found": """select distinct v.report_id, s.i from vessels as v join (select distinct i, x, y from bike_stations where i is not null and x between -180 and 180 and y between -90 and 90) as s
 on v.lat between s.y - 0.0023 and s.y + 0.0023 and v.lon between -180 and 180
 where 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(s.y - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(s.y)) * pow(sin(radians(s.x - v.lon) / 2), 2)))) <= 250""",
