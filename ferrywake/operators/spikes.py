@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ferrywake.operators.series import group_starts, map_whole_groups, with_halo
+from ferrywake.session import materialize
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,7 @@ def _joint_excursions(u: np.ndarray, rates: np.ndarray, dx: np.ndarray, silent:
 def off_course(t: np.ndarray, x: np.ndarray, p: Profile, skip: np.ndarray) -> np.ndarray:
     """Values outside the robust ellipsoids in phase space, found iteratively; ``t`` in seconds, increasing; ``skip`` marks rows already taken out."""
     bad = skip.copy()
-    for _ in range(12):
+    while True:  # every pass takes rows out
         keep = np.flatnonzero(~bad)
         m = len(keep)
         if m < 3:
@@ -235,46 +236,103 @@ def flag_series(t: np.ndarray, x: np.ndarray, companion: np.ndarray | None, p: P
 REASONS = ("ok", "bounds", "spike", "stuck")
 
 
-def flagged_readings(series: DataFrame, profile: Profile, companion: bool = False, only_flagged: bool = True) -> DataFrame:
-    """Judge a series: columns ``k`` (source), ``us`` (epoch microseconds), ``x`` (value), with ``companion`` also ``c``.
+def judge_tied(t: np.ndarray, x: np.ndarray, companion: np.ndarray | None, p: Profile) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (see `flag_series`) where times may be tied, and for each row its rank among the values of its time: 0 for the one the course takes.
 
-    ``series`` holds one row per (``k``, ``us``). Returns ``k, us, x[, c], code`` (see `flag_series`). NaN counts as out of bounds.
+    The course takes, of equal times, the value nearest to the running median of the others. Every other value is judged in its place; as a value farther
+    from the course is no more plausible than a nearer one, bisection finds the first that falls. Neighbouring times never take another value together.
     """
-    columns = ["k", "us", "x"] + (["c"] if companion else [])
-    pieces = with_halo(series.select(*columns), "us", profile.chunk_s * 1_000_000, profile.halo_s * 1_000_000, profile.halo_s * 1_000_000)
+    fresh = np.concatenate(([True], t[1:] != t[:-1]))
+    if fresh.all():
+        return flag_series(t, x, companion, p), np.zeros(len(x), np.int64)
+    group = np.cumsum(fresh) - 1
+    n = int(group[-1]) + 1
+    usable = (x >= p.low) & (x <= p.high)
+    has = np.bincount(group, usable, n) > 0
+    eligible = np.flatnonzero(usable | ~has[group])
+    by_value = eligible[np.lexsort((x[eligible], group[eligible]))]
+    first = np.searchsorted(group[by_value], np.arange(n))
+    size = np.bincount(group[by_value], minlength=n)
+    middle = running_median(x[by_value[first + (size - 1) // 2]])
+    away = np.where(usable, np.abs(x - middle[group]), np.inf)
+    order = np.lexsort((away, group))
+    begin = np.flatnonzero(fresh)
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.arange(len(x)) - begin[group[order]]
+    row_of = np.empty(len(x), np.int64)
+    row_of[begin[group] + rank] = np.arange(len(x))
+    course = row_of[begin]
+    code = np.zeros(len(x), np.int8)
+    code[course] = flag_series(t[course], x[course], None if companion is None else companion[course], p)
+    low, high = np.zeros(n, np.int64), np.maximum(np.bincount(group, usable, n).astype(np.int64) - 1, 0)  # ranks up to low stand, ranks beyond high fall
+    tied = np.flatnonzero(high > 0)
+    part = np.zeros(n, np.int64)
+    part[tied] = np.arange(len(tied)) % (WINDOW // 2 + 1)
+    while (open_ := tied[low[tied] < high[tied]]).size:
+        probe = (low + high + 1) // 2
+        for k in range(WINDOW // 2 + 1):
+            here = open_[part[open_] == k]
+            if not here.size:
+                continue
+            rows = course.copy()
+            rows[here] = row_of[begin[here] + probe[here]]
+            falls = flag_series(t[rows], x[rows], None if companion is None else companion[rows], p)[here] > 0
+            high[here[falls]] = probe[here[falls]] - 1
+            low[here[~falls]] = probe[here[~falls]]
+    other = rank > 0
+    code[other & (rank > low[group])] = 2
+    code[~usable] = 1
+    return code, rank
+
+
+def flagged_readings(series: DataFrame, profile: Profile, companion: bool = False, best_of_time: bool = False) -> DataFrame:
+    """Judge a series: columns ``k`` (source), ``us`` (epoch microseconds), ``x`` (value), with ``companion`` also ``c``; other columns are passed on.
+
+    ``series`` holds one row per (``k``, ``us``, ``x``). Returns the flagged rows with ``code`` (see `flag_series`), or with ``best_of_time`` one plausible row
+    per time, the nearest to the course. NaN counts as out of bounds.
+    """
+    columns = series.columns
+    pieces = with_halo(series, "us", profile.chunk_s * 1_000_000, profile.halo_s * 1_000_000, profile.halo_s * 1_000_000)
 
     def judge(t: pa.Table) -> pa.Table | None:
         begin = np.flatnonzero(group_starts(t, ["k", "chunk"]))
         end = np.concatenate((begin[1:], [t.num_rows]))
-        s = t.column("us").to_numpy() / 1e6
+        us = t.column("us").to_numpy()
+        s = us / 1e6
         x = t.column("x").to_numpy()
         c = t.column("c").to_numpy() if companion else None
-        code = np.zeros(t.num_rows, np.int8)
+        code, rank = np.zeros(t.num_rows, np.int8), np.zeros(t.num_rows, np.int64)
         for b, e in zip(begin, end):
-            code[b:e] = flag_series(s[b:e], x[b:e], None if c is None else c[b:e], profile)
+            code[b:e], rank[b:e] = judge_tied(s[b:e], x[b:e], None if c is None else c[b:e], profile)
         take = t.column("core").to_numpy(zero_copy_only=False)
-        if only_flagged:
-            take = take & (code > 0)
-        rows = np.flatnonzero(take)
+        if best_of_time:
+            rows = np.flatnonzero(take & (code == 0))
+            time = np.cumsum(np.concatenate(([True], (us[1:] != us[:-1]))) | group_starts(t, ["k", "chunk"]))[rows]
+            rows = rows[np.lexsort((rank[rows], time))]
+            time = np.sort(time)
+            rows = rows[np.concatenate(([True], time[1:] != time[:-1]))] if len(rows) else rows
+        else:
+            rows = np.flatnonzero(take & (code > 0))
         return t.select(columns).append_column("code", pa.array(code.astype(np.int32))).take(pa.array(rows)) if len(rows) else None
 
-    schema = "k string, us long, x double" + (", c double" if companion else "") + ", code int"
-    return map_whole_groups(pieces, ["k", "chunk"], ["us"], judge, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in series.schema) + ", code int"
+    return map_whole_groups(pieces, ["k", "chunk"], ["us", "x"], judge, schema)
 
 
 def implausible(rows: DataFrame, row_id: str, key: Column, us: Column, value: Column, profile: Profile, companion: Column | None = None) -> DataFrame:
     """``row_id`` and ``reason`` ('bounds', 'spike' or 'stuck') of every row whose value can't be true.
 
-    Copies (equal key and time) are judged once, by their smallest value; all copies with that value get the verdict.
+    Copies (equal key, time and value) are judged once and all get the verdict; differing values of one key and time are judged each (see `judge_tied`).
     Null values are never reported; a row without key or time has no course to leave and is only held against the
     physical bounds. A null companion tells nothing about movement. An empty table gives no rows.
     """
     base = rows.select(F.col(row_id).alias("rid"), key.cast("string").alias("k"), us.alias("us"), value.cast("double").alias("x"), (companion if companion is not None else F.lit(None)).cast("double").alias("c"))
     base = base.where("x is not null")
     placed = base.where("k is not null and us is not null")
-    series = placed.groupBy("k", "us").agg(F.min("x").alias("x"), F.min("c").alias("c"))
-    wrong = flagged_readings(series, profile, companion is not None).select("k", "us", "x", "code")
-    found = placed.join(wrong, ["k", "us", "x"]).select("rid", "code")
+    series = placed.groupBy("k", "us", "x").agg(F.min("c").alias("c"), F.min("rid").alias("rid"), F.count("*").alias("n"))
+    # few: only copies of a flagged reading are looked up again
+    wrong = materialize(flagged_readings(series, profile, companion is not None).select("k", "us", "x", "rid", "n", "code"))
+    copies = placed.join(wrong.where("n > 1").select("k", "us", "x", "code"), ["k", "us", "x"]).select("rid", "code")
     loose = base.where("(k is null or us is null) and (isnan(x) or x < %r or x > %r)" % (profile.low, profile.high)).select("rid", F.lit(1).alias("code"))
-    both = found.unionByName(loose)
+    both = wrong.where("n = 1").select("rid", "code").unionByName(copies).unionByName(loose)
     return both.select(F.col("rid").alias(row_id), F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.col("code") + 1).alias("reason"))

@@ -72,6 +72,14 @@ def test_copies_nulls_and_chunks(spark):
     assert found(spark, data) == {1500: "spike", 9001: "spike", 9002: "bounds"}
 
 
+def test_differing_values_of_one_time(spark):
+    rng = np.random.default_rng(5)
+    lat = 51.5 + np.cumsum(rng.uniform(0, 200, 300)) / 111_195
+    data = [(n, "b", n * 30_000_000, float(v)) for n, v in enumerate(lat)]
+    data += [(9001, "b", 100 * 30_000_000, 95.0), (9002, "b", 100 * 30_000_000, 58.0), (9003, "b", 200 * 30_000_000, 45.0), (9004, "b", 210 * 30_000_000, float(lat[210] + 0.0005)), (9005, "b", 100 * 30_000_000, 95.0)]
+    assert found(spark, data, BUS_LAT) == {9001: "bounds", 9002: "spike", 9003: "spike", 9005: "bounds"}
+
+
 def test_empty(spark):
     assert found(spark, []) == {}
 
