@@ -22,7 +22,7 @@ EARTH_M = 6_371_000.0
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle metres on a sphere of 6,371,000 m; null if any coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))  # least() would turn a null into 1
 
 
 def np_haversine(lat1, lon1, lat2, lon2):

@@ -1,12 +1,12 @@
 """Stops and trips from location pings (problem 7).
 
-SQL windows give each fix its lagged distance and silence. Two bounds act as hysteresis: a step of more than twice the
-stop radius can't lie inside a stop, whatever its median, so it starts a new island, and only inside an island are
-stretches held against the radius itself. Silence ends spells. Short pieces of one stop (islands cut at chunk bounds) are
-merged, and what lies between stops is aggregated to trips.
+SQL windows give each fix its lagged distance and silence and its speed over the length of a stop. Two bounds act as hysteresis: a step of more than twice the
+stop radius leaves any stop, whatever its median, so it starts a new island, and a stop can begin only where the source then is slow. Islands are the gaps-and-islands
+segments, also bounded by silence; inside them stretches are held against the radius itself, grown both ways and merged where they form one, and what lies
+between stops is aggregated to trips.
 
-Windows run over (source, chunk); what a chunk needs from earlier ones comes from one summary row per chunk,
-so no task sees a whole source.
+Windows run over (source, chunk); what a chunk needs from earlier ones comes from one summary row per chunk, so no task sees a whole source. Islands are
+numbered over chunk bounds, so these don't show in the result.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ferrywake.operators.series import floor_div, group_starts, haversine, map_whole_groups
+from ferrywake.operators.series import EARTH_M, floor_div, group_starts, haversine, map_whole_groups
 from ferrywake.operators.spikes import Profile, flagged_readings
 from ferrywake.session import materialize
 
@@ -46,64 +46,94 @@ def running_across(df: DataFrame, keys: list[str], chunk: str, order: list[str],
     return out.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in values])
 
 
-def stop_stretches(t: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float, least_s: float, open_start: bool, open_end: bool) -> list[tuple[int, int]]:
-    """Index ranges (inclusive) of longest stretches that lie within ``radius`` of their median and span ``least_s``.
+def fitting_starts(x: np.ndarray, y: np.ndarray, first: np.ndarray, reach: np.ndarray, radius: float, block: int = 1_000_000) -> np.ndarray:
+    """Which stretches ``first[i]..reach[i]`` lie within ``radius`` of their median, all those of one length at a time."""
+    ok = np.zeros(len(first), bool)
+    length = reach - first + 1
+    for size in np.unique(length):
+        rows = np.flatnonzero(length == size)
+        step = max(1, block // int(size))
+        for b in range(0, len(rows), step):
+            at = first[rows[b : b + step], None] + np.arange(size)
+            dx, dy = x[at], y[at]
+            dx, dy = dx - np.median(dx, axis=1, keepdims=True), dy - np.median(dy, axis=1, keepdims=True)
+            ok[rows[b : b + step]] = (dx * dx + dy * dy).max(axis=1) <= radius * radius
+    return ok
+
+
+def _middle(v: list[float]) -> float:
+    s, h = sorted(v), len(v) // 2
+    return s[h] if len(v) % 2 else (s[h - 1] + s[h]) / 2
 
-    ``t`` seconds, ``x``/``y`` metres. At an open end of the island (it goes on in the next chunk) the span may be shorter.
-    """
-    n = len(t)
+
+def grown(x: np.ndarray, y: np.ndarray, lo: int, hi: int, starts: list[int], reach: np.ndarray, radius: float) -> list[tuple[int, int]]:
+    """Longest stretches (inclusive, in lo..hi) around the fitting ones that begin at ``starts``, in order and without overlap."""
+    r2 = radius * radius
 
     def fits(i: int, j: int) -> bool:
-        a, b = x[i : j + 1], y[i : j + 1]
-        da, db = a - np.median(a), b - np.median(b)
-        return bool((da * da + db * db).max() <= radius * radius)
-
-    def extend(i: int, j: int) -> int:
-        """Largest end reached from a fitting stretch i..j, by galloping and bisection."""
-        step = 1
-        while j + step < n and fits(i, j + step):
-            j += step
-            step *= 2
+        if j - i < 60:
+            a, b = x[i : j + 1].tolist(), y[i : j + 1].tolist()
+            ma, mb = _middle(a), _middle(b)
+            return all((p - ma) * (p - ma) + (q - mb) * (q - mb) <= r2 for p, q in zip(a, b))
+        da, db = x[i : j + 1], y[i : j + 1]
+        da, db = da - np.median(da), db - np.median(db)
+        return bool((da * da + db * db).max() <= r2)
+
+    def moved(i: int, j: int, way: int, most: int) -> int:
+        """How far the end (``way`` 1) or the start (-1) of a fitting stretch goes, by galloping and bisection."""
+        far, step, growing = 0, 1, True
         while step:
-            if j + step < n and fits(i, j + step):
-                j += step
+            try_ = far + step
+            if try_ <= most and (fits(i, j + try_) if way > 0 else fits(i - try_, j)):
+                far = try_
+                if growing:
+                    step *= 2
             else:
+                growing = False
                 step //= 2
-        return j
+        return far
 
     out: list[tuple[int, int]] = []
-    if n == 0:
-        return out
-    reach = np.searchsorted(t, t + least_s)
-    inside = reach < n
-    far = np.where(inside, reach, n - 1)
-    near = (x[far] - x) ** 2 + (y[far] - y) ** 2 <= 4 * radius * radius
-    i = 0
-    if open_start:
-        j = extend(0, 0)
-        if t[j] - t[0] < least_s:  # a short end piece, to be merged with the previous chunk's
-            out.append((0, j))
-            i = j + 1
-    starts = np.flatnonzero(inside & near)
-    at = int(np.searchsorted(starts, i))
-    while at < len(starts):
-        i = int(starts[at])
+    for i in starts:
+        if out and i <= out[-1][1]:
+            continue
         j = int(reach[i])
-        if fits(i, j):
-            j = extend(i, j)
-            if out and out[-1][1] >= i - 1 and fits(out[-1][0], j):
-                out[-1] = (out[-1][0], j)
-            else:
-                out.append((i, j))
-            at = int(np.searchsorted(starts, j + 1))
-        else:
-            at += 1
-    if open_end and (not out or out[-1][1] < n - 1):
-        low = out[-1][1] + 1 if out else 0
-        i = n - 1
-        while i > low and fits(i - 1, n - 1):
-            i -= 1
-        out.append((i, n - 1))
+        while True:
+            j += moved(i, j, 1, hi - j)
+            taken = out[-1][1] if out else lo - 1
+            back = moved(i, j, -1, i - taken - 1)
+            i -= back
+            if not back:
+                if not out or out[-1][1] < i - 1 or not fits(out[-1][0], j):
+                    break
+                i = out.pop()[0]  # both are one stop, which may reach farther
+        out.append((i, j))
+    return out
+
+
+def stop_stretches(us: np.ndarray, x: np.ndarray, y: np.ndarray, begin: np.ndarray, rests: np.ndarray, radius: float, least_us: int) -> list[tuple[int, int]]:
+    """Index ranges (inclusive) of longest stretches that lie within ``radius`` of their median and span ``least_us``.
+
+    Rows are islands one after the other, each from a row of ``begin`` on and in order of ``us``; a stretch starts on a row of ``rests``. ``x``/``y`` metres.
+    """
+    n = len(us)
+    end = np.concatenate((begin[1:], [n]))
+    island = np.repeat(np.arange(len(begin)), end - begin)
+    since = us - us[begin][island]
+    stride = int(since.max()) + least_us + 1 if n else 1
+    if stride * len(begin) < 2**62:
+        line = island * stride + since
+        reach = np.searchsorted(line, line + least_us)
+    else:
+        reach = np.concatenate([b + np.searchsorted(us[b:e], us[b:e] + least_us) for b, e in zip(begin, end)])
+    first = np.flatnonzero((reach < end[island]) & rests)
+    first = first[fitting_starts(x, y, first, reach[first], radius)]
+    out: list[tuple[int, int]] = []
+    cuts = np.flatnonzero(np.diff(island[first])) + 1
+    for part in np.split(first, cuts):
+        if len(part):
+            g = island[part[0]]
+            out += grown(x, y, int(begin[g]), int(end[g]) - 1, part.tolist(), reach, radius)
     return out
 
 
@@ -112,92 +142,79 @@ def stops_and_trips(
 ) -> DataFrame:
     """Stops and trips of each source: ``key, kind, start_us, end_us, duration_s, n_fixes, distance_m, lat, lon``.
 
-    Fixes with a null key, time or coordinate don't count, copies (equal key and time) count once, and fixes with an implausible
-    latitude (see `spikes`, with ``profile``) or an impossible longitude not at all. ``lat``/``lon`` is the median place of a stop,
-    null for a trip; ``n_fixes`` counts both ends. An empty table gives no rows; other columns are ignored.
+    Fixes with a null key, time or coordinate or an impossible longitude don't count; of copies (equal key and time) one counts, the most plausible row as it
+    stands, and fixes with an implausible latitude (see `spikes`, with ``profile``) not at all. ``lat``/``lon`` is the median place of a stop,
+    null for a trip; ``n_fixes`` counts both ends. The result doesn't depend on ``chunk_s``. An empty table gives no rows; other columns are ignored.
     """
     base = fixes.select(F.col(key).cast("string").alias("k"), us.alias("us"), lat.cast("double").alias("x"), lon.cast("double").alias("c"))
-    series = base.where("k is not null and us is not null and x is not null and c is not null").groupBy("k", "us").agg(F.min("x").alias("x"), F.min("c").alias("c"))
-    good = flagged_readings(series, profile, companion=True, only_flagged=False).where("code = 0 and c between -180 and 180").drop("code")
-    placed = materialize(good.withColumn("chunk", floor_div(F.col("us"), chunk_s * 1_000_000)))
-
-    # lagged distance and silence; break = no stop can hold both this fix and the one before
-    lagged = lag_across(placed, ["k"], "chunk", ["us"], ["us", "x", "c"])
-    step = haversine(F.col("prev_x"), F.col("prev_c"), F.col("x"), F.col("c"))
-    silent = F.col("prev_us").isNull() | (F.col("us") - F.col("prev_us") > silence_s * 1_000_000)
-    moved = lagged.withColumn("spell", silent).withColumn("step_m", F.when(silent, 0.0).otherwise(step)).withColumn("cut", silent | (step > 2 * radius_m))
-    along = running_across(moved.select("k", "chunk", "us", "x", "c", "prev_us", "spell", "cut", "step_m"), ["k"], "chunk", ["us"], {"path_m": F.col("step_m"), "seq": F.lit(1), "island": F.col("cut").cast("long")})
-    along = materialize(along.drop("step_m"))
-
-    # islands, in pieces of one chunk each, with more than one fix
+    series = base.where("k is not null and us is not null and x is not null and c between -180 and 180").groupBy("k", "us", "x").agg(F.min("c").alias("c"))
+    good = flagged_readings(series, profile, companion=True, best_of_time=True).drop("code")
+    chunk_us, least_us, silence_us = chunk_s * 1_000_000, least_stop_s * 1_000_000, silence_s * 1_000_000
+
+    # lagged distance, silence and speeds, all in one pass over (source, chunk)
     w = Window.partitionBy("k", "chunk").orderBy("us")
-    last_of_chunk = F.lead("us").over(w).isNull()
-    paired = along.withColumn("next_cut", F.lead("cut").over(w)).withColumn("at_end", last_of_chunk).withColumn("at_start", F.lag("us").over(w).isNull())
-    members = paired.where("not cut or not next_cut or at_end").select("k", "chunk", "island", "us", "x", "c", "path_m", "seq", "cut", "at_end", "at_start")
+    ahead = F.first(F.struct("us", "x", "c")).over(w.rangeBetween(least_us, least_us + silence_us))
+    seen = good.withColumn("chunk", floor_div(F.col("us"), chunk_us)).select("k", "chunk", "us", "x", "c", F.lag("us").over(w).alias("p_us"), F.lag("x").over(w).alias("p_x"), F.lag("c").over(w).alias("p_c"), ahead.alias("next"))
+    step = haversine(F.col("p_x"), F.col("p_c"), F.col("x"), F.col("c"))
+    net_ms = haversine(F.col("x"), F.col("c"), F.col("next.x"), F.col("next.c")) / ((F.col("next.us") - F.col("us")) / 1e6)
+    moved = seen.select("k", "chunk", "us", "x", "c", (F.col("us") - F.col("p_us") > silence_us).alias("silent"), step.alias("step"), net_ms.alias("net_ms"))
+    # hysteresis: a step of two radii leaves any stop; only a fix from which the source is slow for the length of a stop can begin one
+    leaves = F.col("silent") | (F.col("step") > 2 * radius_m)
+    rests = F.coalesce(F.col("net_ms") <= 2 * radius_m / least_stop_s, F.col("us") >= (F.col("chunk") + 1) * F.lit(chunk_us) - F.lit(least_us + silence_us))
+    judged = moved.select("k", "chunk", "us", "x", "c", rests.alias("rests"), leaves.alias("cut"), F.coalesce("silent", F.lit(False)).cast("long").alias("silent"), F.when(F.col("silent"), 0.0).otherwise(F.coalesce("step", F.lit(0.0))).alias("step"))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    inner = materialize(
+        judged.select(
+            "k", "chunk", "us", "x", "c", "rests", (F.coalesce("cut", F.lit(False)) & F.coalesce(F.lead("cut").over(w), F.lit(False))).alias("alone"), F.row_number().over(w).cast("long").alias("seq"),
+            F.sum("step").over(so_far).alias("path"), F.sum(F.coalesce("cut", F.lit(False)).cast("long")).over(so_far).alias("island"), F.sum("silent").over(so_far).alias("spell"),
+        )
+    )
+
+    # what a chunk needs from earlier ones: one row per (source, chunk), the only thing windowed over a whole source
+    ends = inner.groupBy("k", "chunk").agg(F.min_by(F.struct("us", "x", "c"), "us").alias("head"), F.max_by(F.struct("us", "x", "c", "path", "seq", "island", "spell"), "us").alias("tail"))
+    by_chunk = Window.partitionBy("k").orderBy("chunk")
+    linked = ends.select("k", "chunk", "head", F.lag("tail").over(by_chunk).alias("t"))
+    gap = haversine(F.col("t.x"), F.col("t.c"), F.col("head.x"), F.col("head.c"))
+    parted = F.coalesce(F.col("head.us") - F.col("t.us") > silence_us, F.lit(True))
+    upto = by_chunk.rowsBetween(Window.unboundedPreceding, 0)
+    add = lambda name, own: F.sum(F.coalesce(f"t.{name}", F.lit(0)) + own).over(upto).alias(f"{name}_0")
+    offsets = materialize(linked.select("k", "chunk", add("path", F.when(parted, 0.0).otherwise(gap)), add("seq", F.lit(0)), add("island", (parted | (gap > 2 * radius_m)).cast("long")), add("spell", parted.cast("long"))))
+
+    whole = lambda name: (F.col(name) + F.col(f"{name}_0")).alias(name)
+    members = inner.where("not alone").join(offsets, ["k", "chunk"]).select("k", whole("island"), "us", "x", "c", "rests", whole("path"), whole("seq"), whole("spell"))
 
     def find(t: pa.Table) -> pa.Table | None:
-        begin = np.flatnonzero(group_starts(t, ["k", "chunk", "island"]))
+        begin = np.flatnonzero(group_starts(t, ["k", "island"]))
         end = np.concatenate((begin[1:], [t.num_rows]))
-        s = t.column("us").to_numpy() / 1e6
         a, o = t.column("x").to_numpy(), t.column("c").to_numpy()
-        cut, at_end, at_start = (t.column(c).to_numpy(zero_copy_only=False) for c in ("cut", "at_end", "at_start"))
-        first, last, n_open, p_open, mlat, mlon = [], [], [], [], [], []
-        metre = np.pi / 180 * 6_371_000.0
-        for b, e in zip(begin, end):
-            opened, ended = bool(at_start[b] and not cut[b]), bool(at_end[e - 1])
-            if s[e - 1] - s[b] < least_stop_s and not opened and not ended:
-                continue
-            y = a[b:e] * metre
-            x = o[b:e] * metre * np.cos(np.radians(a[b]))
-            for i, j in stop_stretches(s[b:e], x, y, radius_m, least_stop_s, opened, ended):
-                first.append(b + i)
-                last.append(b + j)
-                p_open.append(opened and i == 0)
-                n_open.append(ended and b + j == e - 1)
-                mlat.append(float(np.median(a[b + i : b + j + 1])))
-                mlon.append(float(np.median(o[b + i : b + j + 1])))
-        if not first:
+        metre = np.pi / 180 * EARTH_M
+        scale = np.repeat(np.cos(np.radians(a[begin])), end - begin)
+        found = stop_stretches(t.column("us").to_numpy(), o * metre * scale, a * metre, begin, t.column("rests").to_numpy(zero_copy_only=False), radius_m, least_us)
+        if not found:
             return None
-        f, g = t.take(pa.array(first)), t.take(pa.array(last))
-        return pa.table(
-            {
-                "k": f.column("k"), "chunk": f.column("chunk"), "island": f.column("island"), "start_us": f.column("us"), "end_us": g.column("us"), "start_path": f.column("path_m"), "end_path": g.column("path_m"),
-                "start_seq": f.column("seq"), "end_seq": g.column("seq"), "prev_open": pa.array(p_open), "next_open": pa.array(n_open), "lat": pa.array(mlat), "lon": pa.array(mlon),
-            }
-        )
-
-    schema = "k string, chunk long, island long, start_us long, end_us long, start_path double, end_path double, start_seq long, end_seq long, prev_open boolean, next_open boolean, lat double, lon double"
-    pieces = materialize(map_whole_groups(members, ["k", "chunk", "island"], ["us"], find, schema))
-
-    # pieces of one stop on both sides of a chunk bound: at most two such pieces per source and chunk
-    edge = pieces.where("prev_open or next_open")
-    w = Window.partitionBy("k").orderBy("start_us", "end_us")
-    joins = F.col("prev_open") & F.coalesce(F.lag("next_open").over(w), F.lit(False)) & (F.lag("island").over(w) == F.col("island")) & (haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")) <= radius_m)
-    chained = edge.withColumn("chain", F.sum(F.coalesce((~joins).cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = chained.groupBy("k", "chain").agg(
-        F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.min("start_path").alias("start_path"), F.max("end_path").alias("end_path"), F.min("start_seq").alias("start_seq"), F.max("end_seq").alias("end_seq"),
-        F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),
-    )
-    columns = ["k", "start_us", "end_us", "start_path", "end_path", "start_seq", "end_seq", "lat", "lon"]
-    stops = pieces.where("not (prev_open or next_open)").select(*columns).unionByName(whole.select(*columns)).where(F.col("end_us") - F.col("start_us") >= least_stop_s * 1_000_000)
-
-    # marks along a source in time: a trip runs from the start of a spell or the end of a stop to the next start of a stop or end of a spell
-    mark = lambda t, kind, path, seq: F.struct(F.col(t).alias("us"), F.lit(kind).alias("kind"), F.col(path).alias("path_m"), F.col(seq).alias("seq"))
-    of_stops = stops.select("k", F.explode(F.array(mark("start_us", 1, "start_path", "start_seq"), mark("end_us", 2, "end_path", "end_seq"))).alias("m"))
-    w = Window.partitionBy("k", "chunk").orderBy("us")
-    ends = along.withColumn("opens", F.col("spell")).withColumn("next_spell", F.lead("spell").over(w))
-    inner = ends.where("opens").select("k", mark("us", 0, "path_m", "seq").alias("m")).unionByName(ends.where("next_spell").select("k", mark("us", 3, "path_m", "seq").alias("m")))
-    tails = ends.where("next_spell is null").select("k", "chunk", "us", "path_m", "seq")
-    heads = along.groupBy("k", "chunk").agg(F.min_by("spell", "us").alias("fresh"))
-    follows = heads.select("k", "chunk", F.lead("fresh").over(Window.partitionBy("k").orderBy("chunk")).alias("next_fresh"))
-    tail_marks = tails.join(follows, ["k", "chunk"]).where(F.coalesce("next_fresh", F.lit(True))).select("k", mark("us", 3, "path_m", "seq").alias("m"))
-    marks = of_stops.unionByName(inner).unionByName(tail_marks).select("k", "m.*").withColumn("chunk", floor_div(F.col("us"), chunk_s * 1_000_000))
-    steps = lag_across(materialize(marks), ["k"], "chunk", ["us", "kind"], ["us", "kind", "path_m", "seq"])
-    trips = steps.where("kind in (1, 3) and prev_kind in (0, 2) and us > prev_us").select(
-        "k", F.lit("trip").alias("kind"), F.col("prev_us").alias("start_us"), F.col("us").alias("end_us"), (F.col("seq") - F.col("prev_seq") + 1).alias("n_fixes"), (F.col("path_m") - F.col("prev_path_m")).alias("distance_m"),
-        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"),
-    )
-    rests = stops.select("k", F.lit("stop").alias("kind"), "start_us", "end_us", (F.col("end_seq") - F.col("start_seq") + 1).alias("n_fixes"), (F.col("end_path") - F.col("start_path")).alias("distance_m"), "lat", "lon")
-    return trips.unionByName(rests).select(
+        i, j = (pa.array(v) for v in zip(*found))
+        f, g = t.take(i), t.take(j)
+        middle = [(float(np.median(a[b : e + 1])), float(np.median(o[b : e + 1]))) for b, e in found]
+        return pa.table({"k": f.column("k"), "spell": f.column("spell"), **{f"{side}_{c}": u.column(c) for side, u in (("start", f), ("end", g)) for c in ("us", "path", "seq")}, "lat": pa.array([m[0] for m in middle]), "lon": pa.array([m[1] for m in middle])})
+
+    # an island is one uninterrupted rest of one source (or less), and goes to the search as a whole wherever chunk bounds lie
+    schema = "k string, spell long, start_us long, start_path double, start_seq long, end_us long, end_path double, end_seq long, lat double, lon double"
+    stops = materialize(map_whole_groups(members, ["k", "island"], ["us"], find, schema))
+
+    # trips lie between the start of a spell or the end of a stop and the next start of a stop or the end of the spell
+    edge = F.struct("us", "path", "seq")
+    parts = inner.groupBy("k", "chunk", "spell").agg(F.min_by(edge, "us").alias("a"), F.max_by(edge, "us").alias("b")).join(offsets, ["k", "chunk"])
+    shifted = lambda c: F.struct(F.col(f"{c}.us").alias("us"), (F.col(f"{c}.path") + F.col("path_0")).alias("path"), (F.col(f"{c}.seq") + F.col("seq_0")).alias("seq")).alias(c)
+    spells = parts.select("k", whole("spell"), shifted("a"), shifted("b")).groupBy("k", "spell").agg(F.min_by("a", "a.us").alias("a"), F.max_by("b", "b.us").alias("b"))
+    mark = lambda n, f, g: F.struct(F.lit(n).alias("kind"), f.alias("from"), g.alias("to"))
+    of_stop = lambda side: F.struct(*[F.col(f"{side}_{c}").alias(c) for c in ("us", "path", "seq")])
+    bounds = spells.select("k", "spell", F.explode(F.array(mark(0, F.col("a"), F.col("a")), mark(2, F.col("b"), F.col("b")))).alias("m"))
+    marks = bounds.unionByName(stops.select("k", "spell", mark(1, of_stop("start"), of_stop("end")).alias("m"))).select("k", "spell", "m.*")
+    in_spell = Window.partitionBy("k", "spell").orderBy("from.us", "kind")
+    steps = marks.withColumn("last", F.lag("to").over(in_spell))
+    columns = lambda kind, a, b: ["k", F.lit(kind).alias("kind"), F.col(f"{a}us").alias("start_us"), F.col(f"{b}us").alias("end_us"), (F.col(f"{b}seq") - F.col(f"{a}seq") + 1).alias("n_fixes"), (F.col(f"{b}path") - F.col(f"{a}path")).alias("distance_m")]
+    trips = steps.where(F.col("from.us") > F.col("last.us")).select(*columns("trip", "last.", "from."), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    rests_ = stops.select(*columns("stop", "start_", "end_"), "lat", "lon")
+    return trips.unionByName(rests_).select(
         F.col("k").alias(key), "kind", "start_us", "end_us", ((F.col("end_us") - F.col("start_us")) / 1e6).alias("duration_s"), F.col("n_fixes").cast("long").alias("n_fixes"), "distance_m", "lat", "lon"
     )

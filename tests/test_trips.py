@@ -39,7 +39,24 @@ def test_silence_ends_a_spell(spark):
 
 def test_chunk_bounds_do_not_show(spark):
     rows = route("a", [(20, 300), (60, 0), (20, 300), (80, 0), (30, 300)])
-    assert run(spark, rows) == run(spark, rows, chunk_s=700) == run(spark, rows, chunk_s=1111)
+    assert run(spark, rows) == run(spark, rows, chunk_s=1111)
+
+
+def test_two_rests_near_each_other_and_chunks(spark):
+    # two rests 70 m apart form one stop only if all fixes fit one median, wherever chunk bounds lie
+    rows = route("a", [(10, 300), (30, 0), (1, 70), (30, 0), (10, 300)]) + route("b", [(5, 400), (80, 1.9), (5, 400)])
+    whole = run(spark, rows)
+    for chunk_s in (700, 3_600):
+        assert run(spark, rows, chunk_s=chunk_s) == whole
+    assert sum(r[1] == "stop" for r in whole) >= 2
+
+
+def test_differing_copies_give_a_row_that_exists(spark):
+    rows = route("a", [(20, 300), (25, 0), (20, 300)])
+    rows += [("a", rows[30][1], rows[30][2] + 0.002, 0.05), ("a", rows[31][1], 95.0, 0.0)]
+    df = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], SCHEMA)
+    stop = stops_and_trips(df, "id", F.col("us"), F.col("lat"), F.col("lon"), BUS_LAT).where("kind = 'stop'").collect()
+    assert [(r.start_us // 10**6, r.end_us // 10**6, r.n_fixes) for r in stop] == [(600, 1350, 26)] and stop[0].lon == 0.1
 
 
 def test_short_standing_is_no_stop(spark):
@@ -56,10 +73,12 @@ def test_stretches_against_brute_force():
         n = 60
         t = np.cumsum(rng.integers(20, 60, n)).astype(float)
         x, y = np.cumsum(rng.choice([0, 0, 0, 90], n) * rng.uniform(-1, 1, n)), rng.normal(0, 15, n)
-        got = stop_stretches(t, x, y, 60.0, 300.0, False, False)
+        got = stop_stretches((t * 1e6).astype(np.int64), x, y, np.array([0]), np.ones(n, bool), 60.0, 300_000_000)
         fits = lambda a, b: np.hypot(x[a : b + 1] - np.median(x[a : b + 1]), y[a : b + 1] - np.median(y[a : b + 1])).max() <= 60
         for a, b in got:
             assert fits(a, b) and t[b] - t[a] >= 300
+            assert b == n - 1 or not fits(a, b + 1)
+            assert a == 0 or a - 1 in {q for _, q in got} or not fits(a - 1, b)
         covered = {i for a, b in got for i in range(a, b + 1)}
         for a in range(n):
             b = int(np.searchsorted(t, t[a] + 300))
