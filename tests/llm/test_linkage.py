@@ -21,3 +21,21 @@ def test_noise_namesakes_and_strangers(spark):
 
 def test_empty(spark):
     assert links(spark, []) == {} and links(spark, [("1", "a", 1.0, 1.0)], []) == {}
+
+
+def test_namesakes_without_place(spark):
+    # as many as there are, linked to the one station of that name; of two stations of one name neither can be told
+    for n in (61, 6_000):
+        rows = [(f"d{k}", "Zuxwick Parva", None, None) for k in range(n)] + [("e", "Harnby", None, None), ("f", "Kelford Jn", 51.5, 0.1001)]
+        out = links(spark, rows, [*STATIONS, ("ZUX", "Zuxwick Parva", 51.1, 0.2)])
+        assert {k: v[0] for k, v in out.items()} == {f"d{k}": "ZUX" for k in range(n)} | {"f": "AAA"}
+
+
+def test_attributes_that_are_common_on_both_sides(spark):
+    # every word, trigram and cell is shared by too many records of both sides; two attributes together still find the partner
+    stations = [(f"S{i}-{j}", f"Alpha{i:02d} Beta{j:02d}", 51.5, 0.1) for i in range(12) for j in range(12)]
+    rows = [(f"d{i}-{j}", f"Alpha{i:02d} Beta{j:02d}", None, None) for i in range(12) for j in range(12)]
+    left = spark.createDataFrame(rows, "id string, name string, lat double, lon double")
+    right = spark.createDataFrame(stations, "crs string, name string, lat double, lon double")
+    out = {r.id: r.crs for r in link(left, "id", "name", "lat", "lon", right, "crs", "name", "lat", "lon", rare=4).collect()}
+    assert sum(out.get(i) == "S" + i[1:] for i, *_ in rows) >= 0.98 * len(rows)
