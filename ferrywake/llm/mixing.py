@@ -72,10 +72,10 @@ def mix(items: DataFrame, targets: DataFrame, item: str, source: str, size: str,
     columns = ["item", "source", "tokens", (F.col("whole") + F.col("extra")).alias("copies")]
     chosen = edge.select(*columns).unionByName(rest.select(*columns)).where("copies > 0")
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"))
-    total_used = used.agg(F.sum("used")).first()[0] or 0
     have = spark.createDataFrame([(s, available.get(s, 0.0)) for s in names], "source string, have double")
+    whole = F.greatest(F.coalesce(F.sum("used").over(Window.partitionBy()), F.lit(0)), F.lit(1))  # over the report's few rows
     report = plan.join(used, "source", "left").join(have, "source").select(
-        "source", "target_share", F.coalesce("used", F.lit(0)).cast("long").alias("tokens"), (F.coalesce("used", F.lit(0)) / F.lit(float(total_used or 1))).alias("actual_share"),
+        "source", "target_share", F.coalesce("used", F.lit(0)).cast("long").alias("tokens"), (F.coalesce("used", F.lit(0)) / whole).alias("actual_share"),
         F.coalesce(F.try_divide(F.col("used").cast("double"), "have"), F.lit(0.0)).alias("epochs"), "clamped",
     )
     return chosen.withColumnRenamed("item", item), report

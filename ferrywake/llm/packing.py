@@ -1,7 +1,7 @@
 """Filling containers of fixed capacity (problem 8): hierarchical residual packing.
 
 Items are packed best-fit (largest first) inside partitions. Bins that are nearly full are final; underfull ones go on as
-items of the next round, in an eighth as many partitions, where they are packed best-fit again, until one partition holds what is left
+items of the next round, in as many partitions as they then fill, where they are packed best-fit again, until one partition holds what is left
 or a round no longer helps. Where an item ends up follows from one join per round of (bin -> bin it went into).
 """
 
@@ -109,6 +109,6 @@ def pack(items: DataFrame, containers: DataFrame, item: str, size: str, containe
 def fill_report(packed: DataFrame, containers: DataFrame, container: str, capacity: str) -> DataFrame:
     """Per container: bins, tokens and the share of the capacity that is used."""
     bins = packed.groupBy("container", "bin").agg(F.sum("tokens").alias("tokens"))
-    size = F.broadcast(containers.select(F.col(container).alias("container"), F.col(capacity).cast("long").alias("capacity")).distinct().limit(1000))
+    size = F.broadcast(containers.select(F.col(container).alias("container"), F.col(capacity).cast("long").alias("capacity")).where("container is not null and capacity > 0").distinct())
     total = bins.groupBy("container").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"))
     return total.join(size, "container").withColumn("filled", F.col("tokens") / (F.col("bins") * F.col("capacity")))

@@ -55,3 +55,36 @@ def test_texts_of_a_garbling_source_prove_nothing(spark):
     multi = "Próxima estación: España.".encode().decode("latin-1")
     out = found(spark, [f"{t} {k}" for k, t in enumerate(CLEAN)] + [f"{multi} {k}" for k in range(2000)])
     assert sorted(out) == list(range(len(CLEAN), len(CLEAN) + 2000))
+
+
+SCRIPTS = {
+    "greek": "Το τρένο φεύγει τώρα από την πλατφόρμα.", "arabic": "القطار متأخر خمس دقائق", "hebrew": "הרכבת מאחרת בחמש דקות", "vietnamese": "Tàu đến chậm năm phút, xin quý khách chờ.", "japanese": "電車は五分遅れています。", "korean": "열차가 오 분 늦습니다.", "emoji": "Delay 🚆 sorry 🚌 thanks 🙏",
+    "thai": "รถไฟล่าช้าห้านาที", "russian": "Поезд задерживается на пять минут.",
+}
+
+
+def test_all_scripts_come_back_whole(spark):
+    texts, want = list(CLEAN) + list(SCRIPTS.values()) * 20, {}
+    for script, good in SCRIPTS.items():
+        for wrong in ("latin-1", "cp437", "cp850", "mac_roman", *(() if script == "arabic" else ("koi8-r",))):  # there two letters become a Russian syllable
+            want[len(texts)] = good
+            texts.append(good.encode().decode(wrong))
+    out = found(spark, texts)
+    assert sorted(out) == sorted(want)
+    assert {k: r.restored for k, r in out.items()} == want
+
+
+def test_encodings_of_several_bytes(spark):
+    good = "列车晚点五分钟，请注意。"
+    texts = CLEAN + [good] * 20 + ["It’s five minutes late".encode().decode("gb18030"), SCRIPTS["japanese"].encode("shift_jis").decode("cp1252", "ignore")]
+    texts += [good.encode().decode("gb18030", "replace"), SCRIPTS["japanese"]] + [SCRIPTS["japanese"]] * 20 + [SCRIPTS["japanese"].encode("euc_jp").decode("latin-1")]
+    out = found(spark, texts)
+    n = len(CLEAN) + 20
+    assert n in out and out[n].restored == "It’s five minutes late" and out[len(texts) - 1].restored == SCRIPTS["japanese"]
+    assert not set(out) & set(range(n)) and not set(out) & set(range(n + 3, len(texts) - 1))
+
+
+def test_half_known_sequences_are_reported_and_left(spark):
+    text = "cafÃ©\u0081 late"
+    out = found(spark, CLEAN + [text])
+    assert out[len(CLEAN)].restored == text
