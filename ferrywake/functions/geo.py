@@ -69,6 +69,13 @@ def vessel_reckoned(lon: Column, lat: Column, sog_kn: Column, cog: Column, age_m
     return F.when(age_ms < fresh_ms, x).otherwise(lon), F.when(age_ms < fresh_ms, y).otherwise(lat)
 
 
+def aircraft_reckoned(lon: Column, lat: Column, speed_kn: Column, track: Column, since_poll_ms: Column, on_ground: Column) -> tuple[Column, Column]:
+    """F33 for aircraft: from the time of the poll on, without a bound; on the ground they stay."""
+    x, y = reckoned(lon, lat, speed_kn * KNOT_MS, track, F.greatest(F.lit(0.0), since_poll_ms / 1000.0))
+    ground = F.coalesce(on_ground, F.lit(False))
+    return F.when(ground, lon).otherwise(x), F.when(ground, lat).otherwise(y)
+
+
 def faded(age_ms: Column, least: float, fresh_ms: int = 30_000, gone_ms: int = 900_000) -> Column:
     """1 while fresh, falling linearly to ``least`` at ``gone_ms``."""
     share = F.least(F.greatest(F.lit(0.0), (age_ms - fresh_ms) / float(gone_ms - fresh_ms)), F.lit(1.0))

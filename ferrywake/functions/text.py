@@ -42,7 +42,8 @@ def segment_key(line: Column, branch: Column, way: Column, index: Column) -> Col
 def with_flag(vessels: DataFrame, mids: DataFrame, mmsi: str = "mmsi") -> DataFrame:
     """Flag from the maritime identification digits (F24). ``mids`` (``mid`` int, ``flag``) is a reference table of a few hundred rows by definition."""
     digits = F.floor(F.col(mmsi) / 1_000_000).cast("int")
-    names = F.broadcast(mids.select(F.col("mid").cast("int").alias("_mid"), F.col("flag").alias("_flag")).dropDuplicates(["_mid"]).limit(1000))
+    known = mids.where("mid between 100 and 999").groupBy(F.col("mid").cast("int").alias("_mid")).agg(F.min("flag").alias("_flag"))
+    names = F.broadcast(known)  # three digits: at most 900 rows
     return vessels.withColumn("_m", digits).join(names, F.col("_m") == F.col("_mid"), "left").withColumn("flag", F.coalesce("_flag", F.lit("Unknown"))).drop("_m", "_mid", "_flag")
 
 
@@ -93,6 +94,25 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")  # T6
 
 
+def altitude_label(feet: Column, on_ground: Column) -> Column:
+    return F.when(on_ground, "on ground").otherwise(F.concat(F.format_number(F.round(feet, 0), 0), F.lit(" ft")))  # F29
+
+
+def dimensions_line(length_m: Column, width_m: Column, draught_m: Column) -> Column:
+    """Length, width and draught, as far as they are known (F29); null if none is."""
+    size = F.when(length_m.isNotNull() & width_m.isNotNull(), F.concat(length_m.cast("string"), F.lit(" × "), width_m.cast("string"), F.lit(" m"))).otherwise(F.concat(length_m.cast("string"), F.lit(" m long")))
+    return F.nullif(F.concat_ws(" · ", size, F.concat(F.lit("draught "), draught_m.cast("string"), F.lit(" m"))), F.lit(""))
+
+
+def flag_line(flag: Column) -> Column:
+    return F.when(F.coalesce(flag, F.lit("Unknown")) != "Unknown", F.concat(F.lit("Flag: "), flag))  # F29
+
+
+def countdown_label(tts: Column) -> Column:
+    """Minutes and seconds left (F28); 'due' at zero."""
+    return F.when(tts <= 0, "due").otherwise(F.format_string("%d:%02d", F.floor(tts / 60).cast("int"), F.floor(F.pmod(tts, F.lit(60))).cast("int")))
+
+
 def due_label(tts: Column) -> Column:
     return F.when(tts < 45, "due").otherwise(F.concat(half_up(tts / 60.0).cast("string"), F.lit(" min")))  # F28
 
@@ -188,19 +208,20 @@ def live_location(location: Column) -> Column:
 
 
 def mode_of(public: Column) -> Column:
-    """Public mode names to entry modes (P6): rail modes share one board."""
-    return F.when(public.isin("train", "tube", "rail"), "tube").when(public == "bus", "bus").when(public.isin("ship", "boat", "vessel"), "ship")
+    """Public mode names to entry modes (P6), null for any other name."""
+    return F.when(public == "train", "tube").when(public.isin("bus", "ship"), public)
 
 
-PARAMETERS = {"line": r"[a-z0-9-]{1,40}", "naptan": r"[A-Za-z0-9]{4,20}", "vehicle": r"[A-Za-z0-9_-]{1,24}", "crs": r"[A-Z]{3}", "mmsi": r"\d{9}", "callsign": r"[A-Z0-9]{2,8}"}
+# Forms of request parameters.
+PARAMETERS = {"line": r"[a-z0-9-]+", "naptan": r"[A-Za-z0-9]{4,20}", "vehicle": r"[A-Za-z0-9-]{1,20}", "crs": r"[A-Za-z]{3}", "mmsi": r"\d{9}", "callsign": r"[A-Za-z0-9-]{2,10}"}
 
 
 def valid_lines(raw: str, most: int = 30) -> list[str]:
-    """Comma-separated line ids: each valid, at most ``most``, distinct and sorted."""
-    ids = sorted({x.strip() for x in raw.split(",") if x.strip()})
-    if not ids or len(ids) > most or any(not re.fullmatch(PARAMETERS["line"], x) for x in ids):
+    """Comma-separated line ids: each valid (an empty one isn't), at most ``most`` as given; returned distinct and sorted."""
+    ids = [x.strip() for x in raw.split(",")]
+    if len(ids) > most or any(not re.fullmatch(PARAMETERS["line"], x) for x in ids):
         raise ValueError(f"expected 1 to {most} line ids, got {raw!r}")
-    return ids
+    return sorted(set(ids))
 
 
 def valid(kind: str, value: Column) -> Column:

@@ -82,8 +82,8 @@ def trailing_count(df: DataFrame, key: str, time_ms: str, window_ms: int) -> Dat
     return df.withColumn("calls", F.count("*").over(w))
 
 
-def admitted(df: DataFrame, key: str, time_ms: str, limit: int, window_ms: int) -> DataFrame:
-    """Sliding-window admission (R14): a call passes if fewer than ``limit`` admitted calls lie in the window before it.
+def admitted(df: DataFrame, key: str, time_ms: str, order: str, limit: int, window_ms: int) -> DataFrame:
+    """Sliding-window admission (R14): a call passes if fewer than ``limit`` admitted calls lie in the window before it; ``order`` (arrival) decides between equal times.
 
     The rule is recursive, so each key is scanned in order; only the last ``limit`` admitted times are held.
     """
@@ -96,5 +96,5 @@ def admitted(df: DataFrame, key: str, time_ms: str, limit: int, window_ms: int)
         ok = len(recent) < limit
         return (recent + [row[time_ms]] if ok else recent), (ok,)
 
-    rest = [c for c in df.columns if c not in (key, time_ms)]
-    return scan_in_order(df.where(F.col(key).isNotNull() & F.col(time_ms).isNotNull()), [key], [time_ms], list, step, [("admitted", pa.bool_())], rest)
+    rest = [c for c in df.columns if c not in (key, time_ms, order)]
+    return scan_in_order(df.where(F.col(key).isNotNull() & F.col(time_ms).isNotNull()), [key], [time_ms, order], list, step, [("admitted", pa.bool_())], rest)

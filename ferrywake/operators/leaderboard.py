@@ -73,9 +73,27 @@ def creditable(trains: DataFrame) -> DataFrame:
     return trains.where(~F.col("synthetic") & F.col("vehicle_id").isNotNull()).select(mode.alias("mode"), F.concat(prefix, "key").alias("id"), F.concat_ws(" ", F.initcap("line_id"), "vehicle_id").alias("label"), "line_id", "lat", "lon")
 
 
-def located(rows: DataFrame, positions: DataFrame) -> DataFrame:
-    """Board rows with the live position of their id (J14): ``positions`` is the union of the keyed live tables (``id, lon, lat``)."""
-    return rows.join(positions.select("id", "lon", "lat"), "id", "left")
+# Namespaces of board ids, the longer before those that begin alike, and the live table that each is looked up in.
+NAMESPACES = (("tube:", "trains"), ("train:nr:", "rail"), ("ship:tfl:", "boats"), ("bus:", "buses"), ("ship:", "vessels"))
+
+
+def located(rows: DataFrame, live: dict[str, DataFrame]) -> DataFrame:
+    """Board rows with the live position of their id (J14), looked up in the table of its namespace: ``live`` maps the names in `NAMESPACES` to tables of ``id, lon, lat``.
+
+    Live ids lack the namespace. Rows of another namespace, or whose vehicle isn't live, have no position.
+    """
+    table, bare = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for prefix, name in reversed(NAMESPACES):
+        mine = F.col("id").startswith(prefix)
+        table, bare = F.when(mine, name).otherwise(table), F.when(mine, F.substring("id", len(prefix) + 1, 2**30)).otherwise(bare)
+    keyed = None
+    for name, df in live.items():
+        part = df.where("id is not null").groupBy(F.col("id").cast("string").alias("_bare")).agg(F.min(F.struct("lon", "lat")).alias("_at")).withColumn("_table", F.lit(name))
+        keyed = part if keyed is None else keyed.unionByName(part)
+    if keyed is None:
+        return rows.withColumn("lon", F.lit(None).cast("double")).withColumn("lat", F.lit(None).cast("double"))
+    out = rows.withColumn("_table", table).withColumn("_bare", bare).join(keyed, ["_table", "_bare"], "left")
+    return out.withColumn("lon", F.col("_at.lon")).withColumn("lat", F.col("_at.lat")).drop("_table", "_bare", "_at")
 
 
 def styled(rows: DataFrame, lines: DataFrame) -> DataFrame:

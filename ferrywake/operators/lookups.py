@@ -19,7 +19,7 @@ def bike_status(status: DataFrame, info: DataFrame, now_ms: Column, stale_ms: in
 
 
 def preferred(left: DataFrame, right: DataFrame, on: list[str], per: list[str], preference: list[Column]) -> DataFrame:
-    """Inner join that keeps each ``per`` group's best match by ``preference`` (J2), by an aggregate over structs of the sort columns."""
+    """Inner join that keeps each ``per`` group's best match by ``preference`` (J2), by a rank that Spark cuts inside partitions before the shuffle."""
     joined = left.join(right, on)
     w = Window.partitionBy(*per).orderBy(*preference)
     return joined.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
@@ -58,7 +58,8 @@ def lift_disruption(stations: DataFrame, entries: DataFrame) -> DataFrame:
 
 def snapped(points: DataFrame, crs: str, stations: DataFrame, gateways: dict[str, str]) -> DataFrame:
     """Calling points on stations of the network: their own, else the one their gateway snaps to; others are dropped."""
-    known = F.broadcast(stations.select(F.col("crs").alias("_crs")).distinct().limit(20_000))
+    known = stations.select(F.col("crs").alias("_crs")).where("_crs is not null").distinct()
+    known = F.broadcast(known) if known.limit(20_001).count() <= 20_000 else known
     snap = F.try_element_at(F.create_map(*[F.lit(x) for kv in gateways.items() for x in kv]), F.col(crs)) if gateways else F.lit(None).cast("string")
     both = points.join(known, F.col(crs) == F.col("_crs"), "left").withColumn("_own", F.col("_crs")).drop("_crs").withColumn("_snap", snap)
     out = both.join(known, F.col("_snap") == F.col("_crs"), "left").withColumn("node", F.coalesce("_own", "_crs"))

@@ -15,17 +15,18 @@ from ferrywake.operators.rail import _neighbours
 from ferrywake.session import materialize
 
 
-def assign_distinct(stations: DataFrame, nodes: DataFrame, radius_m: float = 500.0, max_rounds: int = 1000) -> DataFrame:
+def assign_distinct(stations: DataFrame, nodes: DataFrame, radius_m: float = 500.0) -> DataFrame:
     """Each station's nearest node within reach that no earlier station takes (J9): ``sid, nid, distance_m``.
 
     ``stations``: sid, lat, lon, ord; ``nodes``: nid, lat, lon. Greedy in station order, done as rounds of deferred acceptance, whose outcome is the same as nodes prefer
-    earlier stations: every station asks for its nearest node left, a node keeps the first in order. All stations move at once, so rounds are few.
+    earlier stations: every station asks for its nearest node left, a node keeps the first in order. Clusters of stations within reach of each other move side by side; a
+    round settles at least the first station of each cluster, so there are at most as many rounds as the largest cluster has stations.
     """
     pairs = materialize(within_distance(stations, "sid", "lat", "lon", nodes, "nid", "lat", "lon", radius_m).join(stations.select("sid", "ord"), "sid"))
     # in station order: station k takes its nearest among nodes not taken by stations before it
     taken = None
     left = pairs
-    for _ in range(max_rounds):
+    while True:  # every round settles a station, or none is left
         w_station = Window.partitionBy("sid").orderBy("distance_m", "nid")
         w_node = Window.partitionBy("nid").orderBy("ord", "sid")
         first = left.withColumn("want", F.row_number().over(w_station)).withColumn("claim", F.row_number().over(w_node))
@@ -171,6 +172,107 @@ def station_neighbours(segments: DataFrame, zone: DataFrame, most_m: float = 25_
     return found.groupBy("a", "b").agg(F.min("len_m").alias("len_m"))
 
 
+def ordered_stitch(ways: list[list[tuple[float, float]]], most_gap_m: float = 250.0) -> list[list[tuple[float, float]]]:
+    """Ways of a relation in its order (G4): each turned so that it goes on from the line so far; where a gap is too wide a new line begins."""
+    out: list[list[tuple[float, float]]] = []
+    far = lambda p, q: float(np.hypot(*(polyline.to_m([p]) - polyline.to_m([q]))[0]))
+    for n, way in enumerate(w for w in ways if len(w) > 1):
+        if not out:
+            following = next((w for w in ways[n + 1 :] if len(w) > 1), None)
+            ends = [following[0], following[-1]] if following else []
+            turned = bool(ends) and min(far(way[0], e) for e in ends) < min(far(way[-1], e) for e in ends)
+            out.append(way[::-1] if turned else list(way))
+            continue
+        tail = out[-1][-1]
+        near = way if far(tail, way[0]) <= far(tail, way[-1]) else way[::-1]
+        gap = far(tail, near[0])
+        if gap > most_gap_m:
+            out.append(list(near))
+        else:
+            out[-1] += near[1:] if gap < 1e-6 else near
+    return out
+
+
+def chains_of(segments: list[tuple[str, str, list[tuple[float, float]]]]) -> list[list[tuple[float, float]]]:
+    """Lines through nodes where exactly two segments meet (G4); they end at junctions and dead ends."""
+    at: dict[str, list[int]] = {}
+    for n, (a, b, _) in enumerate(segments):
+        at.setdefault(a, []).append(n)
+        at.setdefault(b, []).append(n)
+    used: set[int] = set()
+
+    def walk(node: str, n: int) -> list[tuple[float, float]]:
+        line: list[tuple[float, float]] = []
+        while n not in used:
+            used.add(n)
+            a, b, pts = segments[n]
+            pts, node = (pts, b) if node == a else (pts[::-1], a)
+            line += pts if not line else pts[1:]
+            if len(at[node]) == 2:
+                n = next((m for m in at[node] if m not in used), n)
+        return line
+
+    out = [walk(node, n) for node in at if len(at[node]) != 2 for n in at[node] if n not in used]
+    return out + [walk(segments[n][0], n) for n in range(len(segments)) if n not in used]  # rings
+
+
+def graph_segments(pairs: DataFrame, segments: DataFrame, nodes: DataFrame, snap_m: float = 500.0, penalty: float = 3.0, most_m: float = 60_000.0, most_segments: int = 200_000) -> DataFrame:
+    """Path between two places over a track graph (G3): ``pid, cost_m, len_m, poly``, of all nodes within ``snap_m`` the ones with the least length plus ``penalty`` times the snaps.
+
+    ``pairs``: pid, a_lon, a_lat, b_lon, b_lat. ``segments``: a, b, len_m, poly; ``nodes``: nid, lon, lat. One search per pair starts from all snapped nodes at once. The graph is
+    checked to be small before it is sent to the searching tasks. Pairs without a path have no row.
+    """
+    if segments.limit(most_segments + 1).count() > most_segments:
+        raise ValueError(f"more than {most_segments} segments")
+    rows = [r.asDict(recursive=True) for r in segments.where("a is not null and b is not null and len_m >= 0").select("a", "b", "len_m", "poly").collect()]
+    shared = segments.sparkSession.sparkContext.broadcast(rows)
+    snaps = []
+    for side in ("a", "b"):
+        near = within_distance(pairs, "pid", f"{side}_lat", f"{side}_lon", nodes, "nid", "lat", "lon", snap_m)
+        snaps.append(near.groupBy("pid").agg(F.collect_list(F.struct("nid", "distance_m")).alias(side)))
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import heapq
+
+        edges = shared.value
+        near = _neighbours(edges)
+        for f in frames:
+            out = []
+            for pid, starts, ends in zip(f["pid"], f["a"], f["b"]):
+                goal = {e["nid"]: penalty * e["distance_m"] for e in ends}
+                cost = {s["nid"]: penalty * s["distance_m"] for s in starts}
+                heap = [(c, n) for n, c in cost.items()]
+                heapq.heapify(heap)
+                back: dict[str, tuple[str, int, bool]] = {}
+                done, best, end = set(), float("inf"), None
+                while heap:
+                    c, n = heapq.heappop(heap)
+                    if n in done:
+                        continue
+                    if c > min(best, most_m):
+                        break
+                    done.add(n)
+                    if n in goal and c + goal[n] < best:
+                        best, end = c + goal[n], n
+                    for m, length, k, forward in near.get(n, ()):
+                        if c + length < cost.get(m, float("inf")):
+                            cost[m], back[m] = c + length, (n, k, forward)
+                            heapq.heappush(heap, (c + length, m))
+                if end is None:
+                    continue
+                line, at, length = [], end, 0.0
+                while at in back:
+                    at, k, forward = back[at]
+                    pts = edges[k]["poly"] if forward else edges[k]["poly"][::-1]
+                    line = pts + line[1:] if line else list(pts)
+                    length += edges[k]["len_m"]
+                out.append((pid, best, length, line))
+            yield pd.DataFrame(out, columns=["pid", "cost_m", "len_m", "poly"])
+
+    kind = pairs.schema["pid"].dataType.simpleString()
+    return snaps[0].join(snaps[1], "pid").mapInPandas(search, f"pid {kind}, cost_m double, len_m double, poly array<struct<lon:double,lat:double>>")
+
+
 def snap_penalised(candidates: DataFrame, penalty: float = 3.0) -> DataFrame:
     """Of the paths between a pair's candidate nodes the one with the least length plus three times the snaps (G3). ``candidates``: pid, len_m, snap_a_m, snap_b_m, poly."""
     cost = F.col("len_m") + penalty * (F.col("snap_a_m") + F.col("snap_b_m"))

@@ -41,6 +41,19 @@ def expired_partitions(files: DataFrame, day: str, size: str, today, keep_days:
     return judged.withColumn("kept", F.sum(F.when(F.col("old"), 0).otherwise(F.col("bytes"))).over(newest_first)).where(F.col("old") | (F.col("kept") > most_bytes)).select(day, "bytes", "old")
 
 
+def delete_expired(spark, folder: str, today, keep_days: int = 7, most_bytes: int = 2 * 1024**3) -> DataFrame:
+    """Delete the expired date partitions (``dt=...``) of a trace folder (K2) and return them: ``dt, bytes, old``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    parts = [p.getPath() for p in fs.listStatus(root) if p.isDirectory() and p.getPath().getName().startswith("dt=")]
+    sizes = [(p.getName()[3:], int(fs.getContentSummary(p).getLength())) for p in parts]
+    gone = expired_partitions(spark.createDataFrame(sizes, "dt string, bytes long"), "dt", "bytes", today, keep_days, most_bytes).collect()  # one row per day
+    for r in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"dt={r.dt}"), True)
+    return spark.createDataFrame(gone, "dt string, bytes long, old boolean")
+
+
 def fix_counts(traces: DataFrame, key: str) -> DataFrame:
     return traces.groupBy(key).agg(F.count("*").alias("fixes"))  # A12
 

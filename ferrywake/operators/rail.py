@@ -43,7 +43,7 @@ def services(boards: DataFrame, stations: DataFrame, now_ms: Column, gateways: d
     points = live.select("crs", "ord", "service", F.posexplode(F.concat(F.array(own), F.coalesce(rest, F.array().cast("array<struct<crs:string,name:string,time:bigint,first:boolean>>")))).alias("i", "p"))
     flat = points.select("ord", "i", F.col("service.rid").alias("rid"), F.col("service.operator").alias("operator"), F.col("service.destination").alias("destination"), F.col("p.crs").alias("pcrs"), F.col("p.name").alias("pname"), F.col("p.time").alias("time"), F.col("p.first").alias("first"))
     on = snapped(flat.where("time is not null and pcrs is not null"), "pcrs", stations, GATEWAYS if gateways is None else gateways).where("not first or node = pcrs")
-    named = on.join(F.broadcast(stations.select(F.col("crs").alias("node"), F.col("name").alias("sname")).dropDuplicates(["node"]).limit(20_000)), "node")
+    named = on.join(stations.groupBy(F.col("crs").alias("node")).agg(F.min("name").alias("sname")), "node")
     listed = named.groupBy("ord", "rid").agg(F.first("operator").alias("operator"), F.first("destination").alias("destination"), F.array_sort(F.collect_list(F.struct("i", F.col("node").alias("crs"), F.when(F.col("first"), F.col("sname")).otherwise(F.col("pname")).alias("name"), "time"))).alias("s"))
     stops = without_repeats(F.transform("s", lambda s: F.struct(s["crs"].alias("crs"), s["name"].alias("name"), s["time"].alias("time"))), "crs")
     return listed.select("ord", "rid", short_operator(F.coalesce("operator", F.lit("")), INITIALS).alias("operator"), "destination", stops.alias("stops")).where(F.size("stops") >= 2)
@@ -142,7 +142,7 @@ def positions(trains: DataFrame, segments: DataFrame, now_ms: Column) -> DataFra
     return on.withColumn("frac", frac).withColumn("at", point_at_fraction("poly", "frac")).select("rid", "operator", "destination", F.col("from.crs").alias("from_crs"), F.col("to.crs").alias("to_crs"), "frac", "at.lon", "at.lat", "at.bearing")
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components (A19): ``node, component`` (the smallest node), by alternating large-star and small-star rounds.
 
     Each round is a group-by and a join-free regrouping; labels halve distances, so rounds grow with the logarithm of the diameter. Nothing is collected.
@@ -151,7 +151,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:  # stars shrink until nothing changes
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

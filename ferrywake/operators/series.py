@@ -92,13 +92,13 @@ def scan_in_order(df: DataFrame, keys: list[str], order: list[str], start: Calla
         for b in batches:
             if not b.num_rows:
                 continue
-            rows, out = b.to_pylist(), []
-            for row in rows:
-                key = tuple(row[k] for k in keys)
+            out = []
+            for values in zip(*[b.column(c).to_pylist() for c in names]):
+                key = values[: len(keys)]
                 if state is None or key != last:
                     state, last = start(), key
-                state, values = step(state, row)
-                out.append(values)
+                state, result = step(state, dict(zip(names, values)))
+                out.append(result)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *[pa.array(c, t) for c, (_, t) in zip(zip(*out), outputs)]], [*names, *[n for n, _ in outputs]])
 
     return df.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -242,7 +242,7 @@ def rate_limit_window(spark, d):
 @query()
 def rate_limit_admission(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    return latest.admitted(e, "user_id", "ms", 3, 86_400_000)
+    return latest.admitted(e, "user_id", "ms", "event_id", 3, 86_400_000)
 
 
 # ---- predicates and scalar functions ---------------------------------------------------------------------------------
@@ -608,7 +608,7 @@ def parked_buses(spark, d):
     from ferrywake.operators.tracking import parked
 
     b = table(spark, d, "bus_fixes").where("recorded_at is not null")
-    return parked(b.select("id", F.unix_millis("recorded_at").alias("t_ms"), (F.col("lon") * geo.metres_per_lon()).alias("x"), (F.col("lat") * geo.M_PER_DEG_LAT).alias("y")))
+    return parked(b.select("id", F.unix_millis("recorded_at").alias("t_ms"), F.col("fix_id").alias("ord"), (F.col("lon") * geo.metres_per_lon()).alias("x"), (F.col("lat") * geo.M_PER_DEG_LAT).alias("y")))
 
 
 def _learned(spark, d):

@@ -44,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = context.getConf().get("spark.checkpoint.dir", None)
     if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import atexit
         import shutil
         import tempfile

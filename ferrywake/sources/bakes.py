@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ferrywake.functions.geo import Box
 from ferrywake.functions.polyline import grid_to_wgs84
@@ -69,6 +69,20 @@ def fresh_datasets(datasets: DataFrame, today: Column, grace_days: int = 90) ->
     return datasets.where(F.col("end_date").isNull() | (F.date_add("end_date", grace_days) > today)).orderBy(F.desc_nulls_last("modified"))
 
 
+def newest_per_output(datasets: DataFrame, output: str) -> DataFrame:
+    """Of the datasets that write one output the newest (L4); the smaller id of equally new ones."""
+    w = Window.partitionBy(output).orderBy(F.desc_nulls_last("modified"), "id")
+    return datasets.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def all_features(parts: list[DataFrame]) -> DataFrame:
+    """Feature rows of several lines as one collection."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 

@@ -156,6 +156,43 @@ def radar_frame(documents: DataFrame, column: str) -> DataFrame:
     return documents.select(F.get_json_object(column, "$.host").alias("host"), F.element_at(past, -1).alias("f")).where("f is not null").select("host", "f.time", "f.path")
 
 
+ARRIVAL = "array<struct<id:string,vehicleId:string,naptanId:string,stationName:string,lineId:string,lineName:string,platformName:string,direction:string,destinationNaptanId:string,destinationName:string,timeToStation:int,currentLocation:string,towards:string>>"
+
+
+def arrivals(documents: DataFrame, column: str, order: str) -> DataFrame:
+    """Arrival predictions as `trains.infer_trains` takes them (S7); ``order`` numbers the documents, and rows keep their order in them."""
+    rows = documents.select(F.col(order).alias("doc"), F.posexplode(F.from_json(column, ARRIVAL)).alias("n", "a"))
+    names = {"line_id": "lineId", "line_name": "lineName", "vehicle_id": "vehicleId", "naptan_id": "naptanId", "station_name": "stationName", "time_to_station": "timeToStation", "current_location": "currentLocation", "platform_name": "platformName", "direction": "direction", "destination_name": "destinationName", "destination_naptan_id": "destinationNaptanId", "towards": "towards"}
+    good = rows.where("a.naptanId is not null and a.lineId is not null and a.timeToStation is not null")
+    return good.select(*[F.col(f"a.{v}").alias(k) for k, v in names.items()], (F.col("doc").cast("long") * 1_000_000 + F.col("n")).alias("ord"))
+
+
+def line_statuses(documents: DataFrame, column: str) -> DataFrame:
+    """Statuses of lines (S7): ``line, ord, description, reason``, as `lookups.disruption_text` takes them."""
+    schema = "array<struct<id:string,lineStatuses:array<struct<statusSeverityDescription:string,reason:string>>>>"
+    lines = documents.select(F.explode(F.from_json(column, schema)).alias("l"))
+    return lines.select(F.col("l.id").alias("line"), F.posexplode("l.lineStatuses").alias("ord", "s")).select("line", "ord", F.col("s.statusSeverityDescription").alias("description"), F.col("s.reason").alias("reason"))
+
+
+def stop_details(documents: DataFrame, column: str) -> DataFrame:
+    """Stop points (S7, F30): ``naptan, name, lat, lon, facilities``."""
+    schema = "array<struct<naptanId:string,commonName:string,lat:double,lon:double,additionalProperties:array<struct<category:string,key:string,value:string>>>>"
+    s = documents.select(F.explode(F.from_json(column, schema)).alias("s")).where("s.naptanId is not null")
+    return s.select(F.col("s.naptanId").alias("naptan"), text.clean_name(F.col("s.commonName")).alias("name"), "s.lat", "s.lon", text.facilities(F.col("s.additionalProperties")).alias("facilities"))
+
+
+def crowding(documents: DataFrame, naptan: str, column: str) -> DataFrame:
+    """Live crowding of stations."""
+    c = F.from_json(column, "dataAvailable boolean, percentageOfBaseline double")
+    return documents.select(naptan, text.crowding_percent(F.coalesce(c["dataAvailable"], F.lit(False)), c["percentageOfBaseline"]).alias("percent"))
+
+
+def lift_messages(documents: DataFrame, column: str) -> DataFrame:
+    """Lift disruptions in feed order (S7), as `lookups.lift_disruption` takes them."""
+    schema = "array<struct<stationUniqueId:string,stopPointName:string,message:string>>"
+    return documents.select(F.posexplode(F.from_json(column, schema)).alias("ord", "e")).select("ord", F.col("e.stationUniqueId").alias("uid"), F.col("e.stopPointName").alias("stop_name"), F.col("e.message").alias("message"))
+
+
 def disruption_marker(point: Column, geography: Column) -> Column:
     """Marker of a road disruption (F31, A21): its point, else a Point, else the centroid of the first outer ring. ``geography`` is GeoJSON text."""
     pair = lambda a: F.when(F.size(a) >= 2, F.struct(F.get(a, F.lit(0)).alias("lon"), F.get(a, F.lit(1)).alias("lat")))
@@ -173,10 +210,18 @@ def disruption_marker(point: Column, geography: Column) -> Column:
     return F.coalesce(own, spot, poly, multi)
 
 
+def station_list(spark: SparkSession, path: str) -> DataFrame:
+    """Station list of a CSV file with a header or of a JSON array (S12): ``crs, name, lat, lon``; rows without code or place are left out."""
+    schema = "crs string, name string, lat double, lon double"
+    rows = spark.read.schema(schema).option("header", True).csv(path) if path.endswith(".csv") else spark.read.schema(schema).option("multiLine", True).json(path)
+    return rows.where("crs is not null and lat is not null and lon is not null")
+
+
 def osm_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, ways and relations of cached extracts (S12), one of each id."""
+    """Nodes, ways and relations of cached extracts (S12), one of each id: of equal ones the last by file and place in it."""
     schema = "elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>,members:array<struct<type:string,ref:bigint,role:string>>>>"
-    e = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("elements").alias("e")).select("e.*").dropDuplicates(["type", "id"])
+    e = spark.read.schema(schema).option("multiLine", True).json(path).select(F.input_file_name().alias("f"), F.posexplode("elements").alias("n", "e"))
+    e = e.groupBy("e.type", "e.id").agg(F.max_by("e", F.struct("f", "n")).alias("e")).select("e.*")
     return e.where("type = 'node'").select("id", "lat", "lon", "tags"), e.where("type = 'way'").select("id", "nodes", "tags"), e.where("type = 'relation'").select("id", "members", "tags")
 
 

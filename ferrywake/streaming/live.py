@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from ferrywake.functions.clock import period_keys
-from ferrywake.operators.leaderboard import MAX_GAP_MS, MIN_MOVE_M, SPEED_CAPS
+from ferrywake.operators.leaderboard import MAX_GAP_MS, MIN_MOVE_M, SPEED_CAPS, within_retention
 from ferrywake.operators.series import EARTH_M
 from ferrywake.sources.feeds import bus_activities
 
@@ -106,7 +106,7 @@ class Changed(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get()[0] if self.last.exists() else None
-        f = pd.concat(list(rows))
+        f = pd.concat(list(rows)).sort_values("ord", kind="stable")
         keep = []
         for t in f["t"].tolist():
             keep.append(t != last)
@@ -120,8 +120,9 @@ class Changed(StatefulProcessor):
 
 
 def trace_lines(buses: DataFrame) -> DataFrame:
-    """Trace rows of bus fixes: k key, i vehicle, x lon, y lat, t epoch seconds (K1); rows without line are skipped."""
-    return buses.where("line <> ''").select(F.concat_ws(":", "operator", "line", "direction").alias("k"), F.col("id").alias("i"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.unix_seconds("recorded_at").alias("t"))
+    """Trace rows of bus fixes: k key, i vehicle, x lon, y lat, t epoch seconds (K1), ``ord`` the order of arrival, or of time where there is none; rows without line are skipped."""
+    order = F.col("ord").cast("long") if "ord" in buses.columns else F.unix_seconds("recorded_at")
+    return buses.where("line <> ''").select(order.alias("ord"), F.concat_ws(":", "operator", "line", "direction").alias("k"), F.col("id").alias("i"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.unix_seconds("recorded_at").alias("t"))
 
 
 def trace_sink(buses: DataFrame, path: str, checkpoint: str, seconds: int = 5) -> DataStreamWriter:
@@ -150,15 +151,36 @@ def add_credits(facts: DataFrame, batch: DataFrame) -> DataFrame:
     return both.groupBy("mode", "period", "bucket", "id").agg(F.sum("m").alias("m"), F.max_by("label", "last_ord").alias("label"), F.min_by("line_id", "first_ord").alias("line_id"), F.min("first_ord").alias("first_ord"), F.max("last_ord").alias("last_ord"))
 
 
+def newest_snapshot(spark: SparkSession, folder: str, checkpoint: str) -> int:
+    """Number that batch 0 of a checkpoint has on the board: noted beside the checkpoint when it is new, one more than the newest snapshot there is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root, note = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(checkpoint + ".first")
+    fs = root.getFileSystem(conf)
+    if fs.exists(note):
+        return int(spark.read.text(str(note)).first()[0])
+    numbers = [int(p.getPath().getName().split("=")[1]) for p in fs.listStatus(root) if p.getPath().getName().startswith("snapshot=")] if fs.exists(root) else []
+    first = max(numbers, default=-1) + 1
+    spark.createDataFrame([(str(first),)], "value string").coalesce(1).write.mode("overwrite").text(str(note))
+    return first
+
+
 def board_sink(stream: DataFrame, folder: str, checkpoint: str, seconds: int | None = 15) -> DataStreamWriter:
-    """Writer that keeps the board as numbered snapshots (R1, R3, K3): each batch reads the last, adds its credits and writes the next, so a
-    replayed batch writes the same snapshot again. Without ``seconds`` it takes what is there and ends."""
+    """Writer that keeps the board as snapshots (R1, R3, K3): each batch reads the newest one, adds its credits, drops buckets past their retention and writes the next.
+
+    Snapshots are numbered on from what the folder holds when the writer is made, so a new checkpoint goes on with the old board; a replayed batch writes the same snapshot again.
+    Without ``seconds`` it takes what is there and ends.
+    """
+    first = newest_snapshot(stream.sparkSession, folder, checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = load_facts(spark, f"{folder}/snapshot={number - 1}")
-        add_credits(before, batch).write.mode("overwrite").parquet(f"{folder}/snapshot={number}")
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot={number - 3}")
+        at = first + number
+        before = load_facts(spark, f"{folder}/snapshot={at - 1}")
+        after = add_credits(before, batch)
+        newest = after.where("period = 'day'").agg(F.max("bucket")).first()[0]  # the board's own clock, so that a replay expires the same
+        kept_ = after if newest is None else within_retention(after, F.lit(newest).cast("timestamp"))
+        kept_.write.mode("overwrite").parquet(f"{folder}/snapshot={at}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot={at - 3}")
         old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
