@@ -167,7 +167,12 @@ def crowding_percent(available: Column, fraction: Column) -> Column:
     return F.when(available, half_up(fraction * 100))  # F30
 
 
-def severity_colour(severity: Column, colours: dict[str, str], default: str) -> Column:
+# Colours of severities.
+SEVERITY_COLOURS = {"Severe": "#d43", "Serious": "#d43", "Moderate": "#da3"}
+OTHER_SEVERITY = "#8a94a0"
+
+
+def severity_colour(severity: Column, colours: dict[str, str] = SEVERITY_COLOURS, default: str = OTHER_SEVERITY) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in colours.items() for x in kv]), severity), F.lit(default))  # F32
 
 
