@@ -60,7 +60,7 @@ def track_segments(pairs: DataFrame, lines: DataFrame, snap_m: float) -> DataFra
                     out.append((pid, order, float(d.max()), [{"lon": x, "lat": y} for x, y in part]))
             yield pd.DataFrame(out, columns=["pid", "ord", "worst_m", "poly"])
 
-    found = pairs.join(lines, "line_id").select("pid", "ord", "a", "b", "poly").mapInPandas(cut, "pid string, ord long, worst_m double, poly array<struct<lon:double,lat:double>>")
+    found = pairs.join(lines, "line_id").select("pid", "ord", "a", "b", "poly").mapInPandas(cut, f"pid {pairs.schema['pid'].dataType.simpleString()}, ord long, worst_m double, poly array<struct<lon:double,lat:double>>")
     return found.groupBy("pid").agg(F.min_by(F.struct("worst_m", "poly"), F.struct("worst_m", "ord")).alias("r")).select("pid", "r.*")
 
 

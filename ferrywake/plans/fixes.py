@@ -30,4 +30,4 @@ def placed_sql(key: str) -> str:
 
 
 def hav_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return f"2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
+    return f"2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))) + 0 * ({lat1} + {lon1} + {lat2} + {lon2})"  # least() skips nulls, the sum doesn't

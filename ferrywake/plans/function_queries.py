@@ -223,7 +223,7 @@ _WALL = """near as (select *, case when w0 - now_ms > 43200000 then w0 - 8640000
 timed as (select event_id, k, case when now_ms - w1 > 43200000 then w1 + 86400000 else w1 end as ms from near)"""
 
 
-@query(f"""with base as (select event_id, cast(floor(epoch_us(ts) / 1000.0) as bigint) + 181 * 86400000 as now_ms, cast(floor(value) as integer) as v from events),
+@query(f"""with base as (select event_id, cast(floor(epoch_us(ts) / 1000.0) as bigint) + 15638400000 as now_ms, cast(floor(value) as integer) as v from events),
 t as (select event_id, 1 as k, now_ms, v % 24 as h, v * 7 % 60 as m from base where v % 3 = 0 union all select event_id, 2, now_ms, v * 5 % 24, v % 60 from base where v % 2 = 0 union all select event_id, 3, now_ms, (v + 9) % 24, 30 from base), {_WALL}
 select event_id, arg_min(ms, k) as at_ms from timed group by event_id""")
 def summer_stop_times(spark, d):
@@ -275,14 +275,14 @@ def ship_lines(spark, d):
     return v.select("report_id", text.dimension(a, b).alias("length_m"), text.dimensions_line(a, b, c).alias("size"), text.flag_line(F.col("flag")).alias("flag"), text.truncated(F.col("destination"), 8).alias("destination"))
 
 
-@query(f"""select p_partkey, list_filter([case when w = 'yes' then 'WiFi' end, case when t not in ('', 'no', '0', 'none') then 'Toilets' end, case when l > 0 then 'Lifts ×' || l end], lambda x: x is not null) as labels, case when p_partkey % 4 <> 0 then cast(floor(p_size * 0.013 * 100 + 0.5) as bigint) end as percent
+@query(f"""select p_partkey, array_to_string(list_filter([case when w = 'yes' then 'WiFi' end, case when t not in ('', 'no', '0', 'none') then 'Toilets' end, case when l > 0 then 'Lifts ×' || l end], lambda x: x is not null), ', ') as labels, case when p_partkey % 4 <> 0 then cast(floor(p_size * 0.013e0 * 100 + 0.5) as bigint) end as percent
 from (select *, {nth_sql('p_partkey', 'yes', 'no', 'unknown')} as w, {nth_sql('p_partkey', 'none', 'yes - outside', '', '2')} as t, p_partkey % 5 as l from part)""")
 def station_facilities(spark, d):
     p = table(spark, d, "part")
     prop = lambda c, k, v: F.struct(F.lit(c).alias("category"), F.lit(k).alias("key"), v.alias("value"))
     lifts = F.pmod("p_partkey", F.lit(5))
     props = F.array(prop("Geo", "WiFi", F.lit("yes")), prop("Facility", "WiFi", F.initcap(nth("p_partkey", "yes", "no", "unknown"))), prop("Facility", "Toilets", nth("p_partkey", "none", "yes - outside", "", "2")), prop("Facility", "Lifts", F.concat(lifts.cast("string"), F.lit(" in use"))), prop("Facility", "Lifts", F.lit("9")))
-    return p.select("p_partkey", text.facilities(props).alias("labels"), text.crowding_percent(F.col("p_partkey") % 4 != 0, F.col("p_size") * 0.013).alias("percent"))
+    return p.select("p_partkey", F.array_join(text.facilities(props), ", ").alias("labels"), text.crowding_percent(F.col("p_partkey") % 4 != 0, F.col("p_size") * 0.013).alias("percent"))
 
 
 @query("""select n_nationkey, case n_nationkey % 5 when 0 then n_nationkey / 10.0 when 1 then n_nationkey / 10.0 when 2 then n_nationkey + 1.0 when 3 then n_nationkey + 3.0 end as lon,

@@ -227,10 +227,12 @@ def trend_50min(spark, d):
     return latest.tide_trend(shifted.withColumn("t", F.col("age") * 1_000_000_000 + F.col("reading_id")), "ref", "t", "level_m", F.lit(10**18), window_s=2 * 10**18)
 
 
-@query("select a.id from (select distinct id from bus_fixes where id is not null) as a where not exists (select 1 from bus_wire as w where w.i = a.id)")
+@query("select a.id from (select distinct id from bus_fixes where id is not null) as a where not exists (select 1 from bus_wire as w where w.i = a.id and w.batch_no = (select max(batch_no) from bus_wire))")
 def absent_from_poll(spark, d):
     states = table(spark, d, "bus_fixes").where("id is not null").select("id").distinct()
-    return latest.absent(states, table(spark, d, "bus_wire").select(F.col("i").alias("id")), "id")
+    wire = table(spark, d, "bus_wire")
+    newest = wire.agg(F.max("batch_no")).first()[0]
+    return latest.absent(states, wire.where(F.col("batch_no") == newest).select(F.col("i").alias("id")), "id")
 
 
 @query("select user_id, event_id, count(*) over (partition by user_id order by cast(floor(epoch_us(ts) / 1000.0) as bigint) range between 3599999 preceding and current row) as calls from events")
@@ -239,12 +241,6 @@ def rate_limit_window(spark, d):
     return latest.trailing_count(e, "user_id", "ms", 3_600_000).select("user_id", "event_id", "calls")
 
 
-@query()
-def rate_limit_admission(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    return latest.admitted(e, "user_id", "ms", "event_id", 3, 86_400_000)
-
-
 # ---- predicates and scalar functions ---------------------------------------------------------------------------------
 
 @query("select fix_id from bus_fixes where lon between -0.55 and 0.35 and lat between 51.25 and 51.72")
@@ -375,14 +371,6 @@ def xml_tag_scan(spark, d):
 
 # ---- joins -----------------------------------------------------------------------------------------------------------
 
-@query("select o_orderkey, c_name, case when c_acctbal < 0 then false else o_orderstatus <> 'F' end as renting from orders join customer on o_custkey = c_custkey where c_custkey % 3 <> 0")
-def status_info_join(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("station_id"), "o_orderkey", "o_orderstatus")
-    c = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("station_id"), F.col("c_name").alias("name"), "c_acctbal")
-    j = o.join(c, "station_id")
-    return j.select("o_orderkey", F.col("name").alias("c_name"), F.when(F.col("c_acctbal") < 0, False).otherwise(F.col("o_orderstatus") != "F").alias("renting"))
-
-
 @query("select p_partkey, l_suppkey, l_orderkey from part join lineitem on p_partkey = l_partkey qualify row_number() over (partition by p_partkey order by (l_suppkey % 4 = 0) desc, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) = 1")
 def preference_join(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
@@ -449,16 +437,6 @@ def leading_edge_anti(spark, d):
     return trains.leading_edges(p, previous, ["l_linestatus", "l_orderkey"], "l_linenumber", "tts")
 
 
-@query("""with c as (select l_orderkey, l_linenumber, l_suppkey, s_nationkey, p_size, case when s_nationkey = l_orderkey % 25 then 0 when p_size > 40 then 1 when l_linenumber > 1 then 2 else 3 end as prio
-from lineitem join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey)
-select l_orderkey, min(prio) as prio, arg_min(l_suppkey, cast(prio as bigint) * 1000000000 + l_linenumber * 1000000 + l_suppkey) as l_suppkey from c group by l_orderkey""")
-def candidate_priority_join(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-    c = li.join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
-    prio = F.when(F.col("s_nationkey") == F.pmod("l_orderkey", F.lit(25)), 0).when(F.col("p_size") > 40, 1).when(F.col("l_linenumber") > 1, 2).otherwise(3)
-    return c.withColumn("prio", prio).groupBy("l_orderkey").agg(F.min("prio").alias("prio"), F.min(F.struct("prio", "l_linenumber", "l_suppkey"))["l_suppkey"].alias("l_suppkey"))
-
-
 @query("select l_suppkey, l_orderkey, l_linenumber, tts, n as place from (select l_suppkey, l_orderkey, l_linenumber, cast(l_quantity as integer) as tts, row_number() over (partition by l_suppkey order by cast(l_quantity as integer), l_orderkey, l_linenumber, l_extendedprice) as n from lineitem) where n <= 8")
 def station_board(spark, d):
     li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("tts"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("ord"))
@@ -555,13 +533,14 @@ def _nation_graph(spark, d):
     return one.unionByName(n.select(name(F.col("n")).alias("a"), name(chord).alias("b"), (F.lit(250.0) + 3 * F.col("n")).alias("len_m"), F.array(point(F.col("n")), point(chord)).alias("poly")))
 
 
-@query(f"""with recursive {_NATION_GRAPH}, walk as (select a as start, b as node, len_m as m, 1 as k from g union select w.start, g.b, w.m + g.len_m, w.k + 1 from walk as w join g on w.node = g.a where w.k < 7 and w.m + g.len_m <= 60000)
-select start as a, node as b, min(m) as len_m from walk where start in ('N0', 'N7') and node <> start group by all""")
+@query(f"""with recursive {_NATION_GRAPH}, walk as (select a as start, b as node, len_m as m, 1 as k from g union select w.start, g.b, w.m + g.len_m, w.k + 1 from walk as w join g on w.node = g.a where w.k < 9 and w.m + g.len_m <= 60000)
+select start as a, node as b, min(m) as len_m, start as first_node, node as last_node from walk where node <> start group by all""")
 def rail_paths(spark, d):
     g = _nation_graph(spark, d)
     nodes = table(spark, d, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("b"))
-    pairs = nodes.withColumn("a", F.explode(F.array(F.lit("N0"), F.lit("N7")))).where("a <> b")
-    return rail.rail_paths(pairs, g).select("a", "b", "len_m")
+    pairs = nodes.join(nodes.select(F.col("b").alias("a")), F.col("a") != F.col("b"))  # a stated set: every pair of the 25 stations
+    node = lambda p: F.concat(F.lit("N"), F.round(p["lon"] * 100).cast("int"))
+    return rail.rail_paths(pairs, g).select("a", "b", "len_m", node(F.element_at("poly", 1)).alias("first_node"), node(F.element_at("poly", -1)).alias("last_node"))
 
 
 # ---- filters, learners and displays: recursions and polylines that SQL can't say; tested numerically --------------------
@@ -589,28 +568,6 @@ def _train_predictions(spark, d):
     )
 
 
-@query()
-def infer_positions(spark, d):
-    return trains.infer_trains(_train_predictions(spark, d), _strings(spark, d)).drop("segment")
-
-
-@query()
-def kalman_filter(spark, d):
-    from ferrywake.operators.tracking import kalman
-
-    b = table(spark, d, "bus_fixes").where("id is not null and lat is not null and recorded_at is not null")
-    m = b.select(F.col("id").alias("vehicle_id"), F.col("fix_id").alias("ord"), ((F.col("lat") - 51.5) * geo.M_PER_DEG_LAT).alias("s_m"), F.unix_millis("recorded_at").alias("t_ms"), F.lit(225.0).alias("r_var"), F.lit(None).cast("double").alias("v0"))
-    return kalman(m)
-
-
-@query()
-def parked_buses(spark, d):
-    from ferrywake.operators.tracking import parked
-
-    b = table(spark, d, "bus_fixes").where("recorded_at is not null")
-    return parked(b.select("id", F.unix_millis("recorded_at").alias("t_ms"), F.col("fix_id").alias("ord"), (F.col("lon") * geo.metres_per_lon()).alias("x"), (F.col("lat") * geo.M_PER_DEG_LAT).alias("y")))
-
-
 def _learned(spark, d):
     b = table(spark, d, "bus_fixes")
     t = b.select(F.concat_ws(":", "operator", "line", "direction").alias("k"), F.col("id").alias("i"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.unix_seconds("recorded_at").alias("t"))
@@ -627,21 +584,11 @@ def learner_summary(spark, d):
     return routes.learner_report(_learned(spark, d))
 
 
-@query()
-def interpolate(spark, d):
-    from ferrywake.operators.tracking import interpolate as show
-
-    t = trains.infer_trains(_train_predictions(spark, d), _strings(spark, d))
-    polls = t.withColumn("poll_ms", F.explode(F.array(F.lit(0).cast("long"), F.lit(10_000).cast("long")))).withColumn("received_at", F.col("poll_ms"))
-    polls = polls.withColumn("time_to_station", F.col("time_to_station") - F.expr("cast(poll_ms / 1000 as int)"))
-    ticks = spark.range(0, 20_000, 5_000).select(F.col("id").alias("t_ms"))
-    return show(polls.select("poll_ms", "key", "line_id", "direction", "segment", "segment_frac", "segment_key", "time_to_station", "run_time_s", "received_at", "synthetic", "destination_id", "next_stop_id", "lon", "lat", "bearing"), ticks)
-
-
 _SIM_SQL = """with l as (select n_nationkey as n, 5000.0 + 700 * n_nationkey as length_m, 36.0 + n_nationkey as kmh, 180 + 10 * n_nationkey as headway from nation),
 j as (select *, length_m / (kmh / 3.6) as journey_s, unnest([1, -1]) as heading from l), k as (select *, unnest(range(0, cast(ceil(journey_s / headway) as bigint) + 1)) as k from j),
 f as (select *, floor((1785000000.0 - case when heading = 1 then 0 else 0.5 * headway end) / headway) * headway + case when heading = 1 then 0 else 0.5 * headway end - k * headway as departed_s from k)
-select 'L' || n as line_id, heading, departed_s, round(case when heading = 1 then (1785000000.0 - departed_s) / journey_s else 1 - (1785000000.0 - departed_s) / journey_s end * length_m, 4) as metres from f where (1785000000.0 - departed_s) / journey_s between 0 and 1"""
+select 'L' || n as line_id, heading, departed_s, round(case when heading = 1 then (1785000000.0 - departed_s) / journey_s else 1 - (1785000000.0 - departed_s) / journey_s end * length_m, 4) as metres,
+round(case when heading = 1 then (1785000000.0 - departed_s) / journey_s else 1 - (1785000000.0 - departed_s) / journey_s end * 0.1, 7) as lon, round((degrees(atan2(0.1 * {lon}, 0.1 * 110540.0)) + case when heading = 1 then 0 else 180 end) % 360, 5) as bearing from f where (1785000000.0 - departed_s) / journey_s between 0 and 1""".replace("{lon}", repr(geo.metres_per_lon()))
 
 
 @query(_SIM_SQL)
@@ -653,11 +600,4 @@ def simulate_trains(spark, d):
     lines = n.select(F.concat(F.lit("L"), "n").alias("line_id"), poly.alias("poly"), (F.lit(5000.0) + 700 * F.col("n")).alias("length_m"), (F.lit(36.0) + F.col("n")).alias("speed_kmh"), (F.lit(180) + 10 * F.col("n")).alias("headway_peak_s"), (F.lit(180) + 10 * F.col("n")).alias("headway_off_s"))
     hours = F.array(*[F.struct(F.lit(0.0).alias("open"), F.lit(24.0).alias("close")) for _ in range(7)])
     out = fly(lines, hours, [(7.0, 10.0)], 4.0, F.timestamp_seconds(F.lit(1_785_000_000)))
-    return out.select("line_id", "heading", "departed_s", F.round("metres", 4).alias("metres"))
-
-
-@query()
-def assign_nodes(spark, d):
-    s = placed(table(spark, d, "supplier"), "s_suppkey").select(F.col("s_suppkey").alias("sid"), "lat", "lon", F.col("s_suppkey").alias("ord"))
-    n = placed(table(spark, d, "customer"), "c_custkey").select(F.col("c_custkey").alias("nid"), "lat", "lon")
-    return network.assign_distinct(s, n, 1500.0)
+    return out.select("line_id", "heading", "departed_s", F.round("metres", 4).alias("metres"), F.round("lon", 7).alias("lon"), F.round("bearing", 5).alias("bearing"))

@@ -153,7 +153,7 @@ def aircraft(spark: SparkSession, paths: list[str]) -> DataFrame:
 def radar_frame(documents: DataFrame, column: str) -> DataFrame:
     """The last past radar frame."""
     past = F.from_json(F.get_json_object(column, "$.radar.past"), "array<struct<time:bigint,path:string>>")
-    return documents.select(F.get_json_object(column, "$.host").alias("host"), F.element_at(past, -1).alias("f")).where("f is not null").select("host", "f.time", "f.path")
+    return documents.select(F.get_json_object(column, "$.host").alias("host"), F.try_element_at(past, F.lit(-1)).alias("f")).where("f is not null").select("host", "f.time", "f.path")
 
 
 ARRIVAL = "array<struct<id:string,vehicleId:string,naptanId:string,stationName:string,lineId:string,lineName:string,platformName:string,direction:string,destinationNaptanId:string,destinationName:string,timeToStation:int,currentLocation:string,towards:string>>"
