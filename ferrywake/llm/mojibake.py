@@ -40,7 +40,7 @@ RUN_GAIN, DOC_GAIN = math.log(20), math.log(60)
 SPLIT_GAIN = math.log(5)
 #: Overlapping finds in padded texts: each non-ASCII character, or run of them, with the characters on both sides.
 TRIPLE, AROUND = re.compile(r"(?s)(?=(.[^\x00-\x7f].))"), re.compile(r"(?s)(?=([\x00-\x7f][^\x00-\x7f]+[\x00-\x7f]))")
-RUN, LONG_RUN = re.compile(r"[^\x00-\x7f]+"), re.compile(r"[^\x00-\x7f]{3,}")
+RUN, PAIRED, LONG_RUN = re.compile(r"[^\x00-\x7f]+"), re.compile(r"[^\x00-\x7f]{2,}"), re.compile(r"[^\x00-\x7f]{3,}")
 SOFT_HYPHEN = "\xad"
 FAR_EAST = re.compile("[\u0900-\u11ff\u2e80-\ufaff\U00020000-\U0002fa1f]")
 CYRILLIC = re.compile("[Ѐ-ӿ]+")
@@ -110,6 +110,14 @@ def wide_forms() -> re.Pattern:
     return re.compile("|".join(dict.fromkeys(parts)))
 
 
+@lru_cache
+def wide_hint() -> re.Pattern:
+    """What any of these forms begins with, whatever the encoding; quicker to look for."""
+    tables = [t for t in map(table, ENCODINGS) if sum(CYRILLIC.match(c) is not None for c in t[0x80:0xC0]) <= 10]
+    of = lambda low, high: "[" + re.escape("".join(sorted({c for t in tables for c in t[low : high + 1]}))) + "]"
+    return re.compile(of(0xE0, 0xF4) + of(0x80, 0xBF) + "{2}")
+
+
 @lru_cache(maxsize=100_000)
 def wide_reading(form: str) -> tuple[tuple[str, str], ...]:
     """(encoding, character) of the ideographs and syllables that a sequence may have been."""
@@ -128,11 +136,16 @@ def wide_reading(form: str) -> tuple[tuple[str, str], ...]:
 
 def sequences(text: str) -> list[tuple[int, int, dict[str, str]]]:
     """Garbled UTF-8 sequences in order: begin, end and the character by encoding. Where the automaton's overlap with wide characters, the first and longest counts."""
-    hits = [(end - size + 1, end + 1, by) for end, (size, by) in automaton().iter_long(text)]
-    wide = [(m.start(), m.end(), dict(r)) for run in LONG_RUN.finditer(text) for m in wide_forms().finditer(text, run.start(), run.end()) if (r := wide_reading(m.group()))]
+    find, hits, wide = automaton(), [], []
+    # a sequence has two characters at least, none of them ASCII
+    for run in PAIRED.finditer(text):
+        begin, end = run.span()
+        hits += [(at - size + 1, at + 1, by) for at, (size, by) in find.iter_long(text, begin, end)]
+        if end - begin > 2 and wide_hint().search(text, begin, end):
+            wide += [(m.start(), m.end(), dict(r)) for m in wide_forms().finditer(text, begin, end) if (r := wide_reading(m.group()))]
     if not wide:
         return hits
-    hits = [(end - size + 1, end + 1, by) for end, (size, by) in automaton().iter(text)]
+    hits = [(at - size + 1, at + 1, by) for at, (size, by) in find.iter(text)]
     out, at = [], 0
     for h in sorted([*hits, *wide], key=lambda h: (h[0], -h[1])):
         if h[0] >= at:
@@ -315,14 +328,13 @@ def readings(before: str, run: str, after: str, usual: dict[str, int], forms: di
     return out
 
 
-def undo_single(text: str, usual: dict[str, int], n: int, forms: dict[str, float], known: dict) -> tuple[str, int]:
+def undo_single(text: str, arounds: set[str], usual: dict[str, int], n: int, forms: dict[str, float], known: dict) -> tuple[str, int]:
     """Replace runs that read as another single-byte encoding; of all pairs the one that explains the text best.
 
     Evidence are runs whose restored form is far more usual, however usual they are themselves. A character repeated three times is a drawing, and a lone one
     between blanks counts only for what is very usual there (a dash); both are replaced only in texts that other runs prove garbled.
-    ``forms`` (see `most_usual_forms`) and ``known`` only spare work.
+    ``arounds`` (the runs with their neighbours), ``forms`` (see `most_usual_forms`) and ``known`` only spare work.
     """
-    arounds = set(AROUND.findall(f"\n{text}\n"))
     if all(known.get(a) == {} for a in arounds):
         return text, 0
     runs = []
@@ -369,8 +381,9 @@ def undo_single(text: str, usual: dict[str, int], n: int, forms: dict[str, float
 
 
 def undo_either(text: str, tables: list[tuple]) -> tuple[str, int]:
+    arounds = set(AROUND.findall(f"\n{text}\n"))
     for t in tables:
-        fixed, runs = undo_single(text, *t)
+        fixed, runs = undo_single(text, arounds, *t)
         if runs:
             return fixed, runs
     return text, 0
@@ -393,11 +406,13 @@ def split_up(run: str, usual: dict[str, int]) -> str | None:
     """What a run was, if it is text in such an encoding read with a single-byte one; chance allows that too, so the result must be far more usual in the corpus."""
     if len(run) < 6:
         return None
-    stands = sum(math.log(usual.get(k, 0) + 0.5) for k in contexts(run, 0, len(run)))
+    letters, stands = set(run), None
     for wrong in READ_WITH:
         known = bytes_of(wrong)
-        if not all(c in known for c in run):
+        if not letters <= known.keys():
             continue
+        if stands is None:
+            stands = sum(math.log(usual.get(k, 0) + 0.5) for k in contexts(run, 0, len(run)))
         for true in MULTIBYTE:
             try:
                 new = bytes(known[c] for c in run).decode(true)
