@@ -68,7 +68,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
-    return within_distance(table(spark, d, "vessels"), "report_id", "lat", "lon", table(spark, d, "bike_stations"), "i", "y", "x", 250.0)
+    near = within_distance(table(spark, d, "vessels"), "report_id", "lat", "lon", table(spark, d, "bike_stations"), "i", "y", "x", 250.0)
+    return near.withColumn("distance_m", F.round("distance_m", 3))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -117,4 +118,7 @@ where (i is null or t is null) or (n = 1 and not exists (select 1 from parted as
     "p6_found": """select distinct v.report_id, s.i from vessels as v join (select distinct i, x, y from bike_stations where i is not null and x between -180 and 180 and y between -90 and 90) as s
 on v.lat between s.y - 0.0023 and s.y + 0.0023 and v.lon between -180 and 180
 where 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(s.y - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(s.y)) * pow(sin(radians(s.x - v.lon) / 2), 2)))) <= 250""",
+    "p6_near": """select v.report_id, s.i, round(min(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(s.y - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(s.y)) * pow(sin(radians(s.x - v.lon) / 2), 2))))), 3) as distance_m from vessels as v join (select distinct i, x, y from bike_stations where i is not null and x between -180 and 180 and y between -90 and 90) as s
+on v.lat between s.y - 0.0023 and s.y + 0.0023 and v.lon between -180 and 180
+where 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(s.y - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(s.y)) * pow(sin(radians(s.x - v.lon) / 2), 2)))) <= 250 group by 1, 2""",
 }
