@@ -98,7 +98,7 @@ def test_latest_and_carried(spark):
     ch = spark.createDataFrame([("a", n, v) for n, v in enumerate(["A", "A", "B", "A", None, None])], "id string, n int, v string")
     assert sorted(r.n for r in latest.changed(ch, "id", "n", "v", F.floor(F.col("n") / 2)).collect()) == [0, 2, 3, 4]
     calls = spark.createDataFrame([("k", t) for t in (0, 10, 20, 30, 59, 60, 61, 100)], "k string, t long")
-    assert [r.admitted for r in latest.admitted(calls, "k", "t", 3, 60).orderBy("t").collect()] == [True, True, True, False, False, True, False, True]
+    assert [r.admitted for r in latest.admitted(calls.withColumn("ord", F.col("t")), "k", "t", "ord", 3, 60).orderBy("t").collect()] == [True, True, True, False, False, True, False, True]
 
 
 def test_journeys_and_learning(spark):
@@ -232,3 +232,28 @@ def test_timetables_and_region(spark, tmp_path):
         bakes.parse_flag("maybe", "X")
     b = geo.Box(-179, -89, 179, 89).widened(5)
     assert b == geo.Box(-180, -90, 180, 90)
+
+
+def test_stitching():
+    a, b, c = [(0.0, 51.5), (0.01, 51.5)], [(0.02, 51.5), (0.01, 51.5)], [(0.5, 51.5), (0.51, 51.5)]
+    assert network.ordered_stitch([a, b, c]) == [[(0.0, 51.5), (0.01, 51.5), (0.02, 51.5)], c]
+    assert network.ordered_stitch([a[::-1], b]) == [[(0.0, 51.5), (0.01, 51.5), (0.02, 51.5)]] and network.ordered_stitch([]) == []
+    lines = network.chains_of([("A", "B", [(0, 0), (1, 0)]), ("C", "B", [(2, 0), (1, 0)]), ("C", "D", [(2, 0), (2, 1)]), ("C", "E", [(2, 0), (3, 0)])])
+    assert sorted(map(len, lines)) == [2, 2, 3] and [(0, 0), (1, 0), (2, 0)] in [sorted(x) for x in lines]
+    ring = network.chains_of([("A", "B", [(0, 0), (1, 0)]), ("B", "C", [(1, 0), (1, 1)]), ("C", "A", [(1, 1), (0, 0)])])
+    assert len(ring) == 1 and len(ring[0]) == 4
+
+
+def test_read_api_refuses(spark):
+    from ferrywake.plans import read_api
+
+    rows = spark.createDataFrame([("a", 1)], "line_id string, ord long")
+    for call in (lambda: read_api.arrivals(rows, "A,,b"), lambda: read_api.stop_arrivals(rows, "x!"), lambda: read_api.board(rows, "year", "2026", "bus"), lambda: read_api.board(rows, "day", "2026-01-01", "plane")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_station_list_of_both_kinds(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("crs,name,lat,lon\nABC,Abc,51.5,0.1\n,None,1,1\nXYZ,Xyz,,0.1\n")
+    (tmp_path / "s.json").write_text('[{"crs":"ABC","name":"Abc","lat":51.5,"lon":0.1},{"crs":null,"lat":1,"lon":1}]')
+    assert [tuple(r) for r in feeds.station_list(spark, str(tmp_path / "s.csv")).collect()] == [tuple(r) for r in feeds.station_list(spark, str(tmp_path / "s.json")).collect()] == [("ABC", "Abc", 51.5, 0.1)]
