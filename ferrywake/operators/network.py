@@ -2,41 +2,105 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ferrywake.functions import polyline
 from ferrywake.operators.lookups import nearest_within
-from ferrywake.operators.proximity import within_distance
+from ferrywake.operators.proximity import BITS, cover_level, disc_cells, point_code, within_distance
 from ferrywake.operators.rail import _neighbours
-from ferrywake.session import materialize
+from ferrywake.operators.series import EARTH_M, np_haversine
+from ferrywake.session import discard, materialize
+
+
+def _in_order(radius_m: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Stations of one cell in order, each taking the nearest node within reach that none before it and no earlier station of another cell (``h_ord``, ``h_sid``) holds."""
+
+    def settle(stations: pa.Table, nodes: pa.Table) -> pa.Table:
+        nodes = nodes.sort_by("nid")
+        names = nodes.column("nid").combine_chunks().dictionary_encode()  # in order of nid
+        name = names.indices.to_numpy()
+        line = lambda t, o, s: [(o is not None, o, s) for o, s in zip(t.column(o).to_pylist(), t.column(s).to_pylist())]
+        mine, theirs = line(stations, "ord", "sid"), line(nodes, "h_ord", "h_sid")
+        rank = {k: n for n, k in enumerate(sorted({*mine, *(k for k in theirs if k[2] is not None)}))}
+        holder = np.full(len(names.dictionary), len(rank))
+        for n, k in zip(name, theirs):
+            holder[n] = rank.get(k, len(rank))
+        # nodes of equal place are one, with the next of them in order of nid: what is held when a station asks stays so for those after it
+        lat, lon = nodes.column("lat").to_numpy(), nodes.column("lon").to_numpy()
+        by = np.lexsort((name, lon, lat))
+        lat, lon, name = lat[by], lon[by], name[by]
+        at = np.flatnonzero(np.r_[np.ones(min(1, len(by)), bool), (np.diff(lat) != 0) | (np.diff(lon) != 0)])
+        end, lat, lon, free = np.r_[at[1:], len(by)], lat[at], lon[at], np.ones(len(at), bool)
+        first_m = radius_m * min(1.0, (32 / max(1, len(at))) ** 0.5)  # a few places lie so near
+        s_lat, s_lon = stations.column("lat").to_pylist(), stations.column("lon").to_pylist()
+        rows, taken, metres = [], [], []
+        for row in sorted(range(len(mine)), key=mine.__getitem__):
+            me, reach, found = rank[mine[row]], first_m, False
+            if np.count_nonzero(free) * 2 < len(free):
+                at, end, lat, lon, free = at[free], end[free], lat[free], lon[free], free[free]
+            while not found:
+                high = np.degrees(reach / EARTH_M) * 1.000001
+                i, j = np.searchsorted(lat, s_lat[row] - high), np.searchsorted(lat, s_lat[row] + high, "right")
+                d = np.where(free[i:j], np_haversine(s_lat[row], s_lon[row], lat[i:j], lon[i:j]), np.inf)
+                while not found and len(d) and (nearest := d.min()) <= reach:
+                    for p in i + np.flatnonzero(d == nearest):
+                        while at[p] < end[p] and holder[name[at[p]]] < me:
+                            at[p] += 1
+                        if at[p] == end[p]:
+                            free[p], d[p - i] = False, np.inf
+                    if len(ties := i + np.flatnonzero(d == nearest)):
+                        node, found = name[at[ties]].min(), True
+                        holder[node] = me
+                        rows.append(row), taken.append(node), metres.append(nearest)
+                if reach >= radius_m:
+                    break
+                reach = min(radius_m, 2 * reach)
+        rows = pa.array(rows, pa.int64())
+        return pa.table({"nid": names.dictionary.take(pa.array(taken, pa.int64())), **{c: stations.column(c).take(rows) for c in ("sid", "ord", "cell")}, "distance_m": pa.array(metres, pa.float64())})
+
+    return settle
 
 
 def assign_distinct(stations: DataFrame, nodes: DataFrame, radius_m: float = 500.0) -> DataFrame:
     """Each station's nearest node within reach that no earlier station takes (J9): ``sid, nid, distance_m``.
 
-    ``stations``: sid, lat, lon, ord; ``nodes``: nid, lat, lon. Greedy in station order, done as rounds of deferred acceptance, whose outcome is the same as nodes prefer
-    earlier stations: every station asks for its nearest node left, a node keeps the first in order. Clusters of stations within reach of each other move side by side; a
-    round settles at least the first station of each cluster, so there are at most as many rounds as the largest cluster has stations.
+    ``stations``: sid, lat, lon, ord; ``nodes``: nid, lat, lon. Greedy in station order, done as deferred acceptance, whose outcome is the same as nodes prefer earlier
+    stations: the stations of a cell choose in order; a node that several cells ask for keeps the first in order, and the cells of the others choose again. No pairs are
+    stored: a node is sent once to each cell it is within reach of, and a task holds the stations of a cell (as high as two to four radii) and the nodes within reach.
+    A station has one place; other rows of it raise an error. Equal distances go to the smaller ``nid``.
     """
-    pairs = materialize(within_distance(stations, "sid", "lat", "lon", nodes, "nid", "lat", "lon", radius_m).join(stations.select("sid", "ord"), "sid"))
-    # in station order: station k takes its nearest among nodes not taken by stations before it
-    taken = None
-    left = pairs
-    while True:  # every round settles a station, or none is left
-        w_station = Window.partitionBy("sid").orderBy("distance_m", "nid")
-        w_node = Window.partitionBy("nid").orderBy("ord", "sid")
-        first = left.withColumn("want", F.row_number().over(w_station)).withColumn("claim", F.row_number().over(w_node))
-        # final: it wants the node most and no earlier station could still take it
-        sure = materialize(first.where("want = 1 and claim = 1").select("sid", "nid", "distance_m"))
-        if sure.isEmpty():
-            break
-        taken = sure if taken is None else taken.unionByName(sure)
-        left = materialize(left.join(sure.select("sid"), "sid", "left_anti").join(sure.select("nid"), "nid", "left_anti"))
-    return taken if taken is not None else pairs.select("sid", "nid", "distance_m").where("false")
+    level = max(1, cover_level(radius_m) - 1)
+    usable = lambda df, key: df.withColumns({c: F.col(c).cast("double") for c in ("lat", "lon")}).withColumn("cell", F.shiftright(point_code(F.col("lat"), F.col("lon")), 2 * (BITS - level))).where(F.col(key).isNotNull() & F.col("cell").isNotNull())
+    place = F.struct("lat", "lon")
+    one = F.when(F.min(place) != F.max(place), F.raise_error(F.concat(F.lit("station of several places: "), F.col("sid").cast("string")))).otherwise(F.min(F.struct("ord", "lat", "lon", "cell")))
+    s = materialize(usable(stations, "sid").groupBy("sid").agg(one.alias("s")).select("sid", "s.*"))
+    n = materialize(usable(nodes, "nid").select("nid", F.col("lat").alias("slat"), F.col("lon").alias("slon")))
+    reached = disc_cells(n, radius_m, level).select("nid", F.col("slat").alias("lat"), F.col("slon").alias("lon"), "cell")
+    schema = StructType([StructField("nid", n.schema["nid"].dataType), *[s.schema[c] for c in ("sid", "ord", "cell")], StructField("distance_m", DoubleType())])
+    claims, asking = None, s.select("cell").distinct()
+    while True:
+        near = reached.join(asking, "cell", "left_semi")
+        if claims is None:
+            near = near.withColumns({f"h_{c}": F.lit(None).cast(s.schema[c].dataType) for c in ("ord", "sid")})
+        else:
+            held = claims.where("place = 1").select("nid", F.col("ord").alias("h_ord"), F.col("sid").alias("h_sid"), F.col("cell").alias("home"))
+            near = near.join(held, "nid", "left").select("nid", "lat", "lon", "cell", *[F.when(F.col("home") != F.col("cell"), F.col(c)).alias(c) for c in ("h_ord", "h_sid")])
+        asked = s.join(asking, "cell", "left_semi").groupBy("cell").cogroup(near.groupBy("cell")).applyInArrow(_in_order(radius_m), schema)
+        if claims is not None:
+            asked = asked.unionByName(claims.drop("place").join(asking, "cell", "left_anti"))
+        last, claims = claims, materialize(asked.withColumn("place", F.row_number().over(Window.partitionBy("nid").orderBy("ord", "sid"))))
+        if last is not None:
+            discard(s.sparkSession, last)
+        asking = claims.where("place > 1").select("cell").distinct()
+        if asking.isEmpty():  # every claim is the first of its node
+            discard(s.sparkSession, s, n)
+            return claims.select("sid", "nid", "distance_m")
 
 
 def zones(nodes: DataFrame, stations: DataFrame, radius_m: float = 300.0) -> DataFrame:

@@ -42,11 +42,10 @@ def cover_level(radius_m: float) -> int:
     return max(1, min(BITS, int(math.log2(180.0 / math.degrees(radius_m / EARTH_M)))))
 
 
-def disc_ranges(sites: DataFrame, radius_m: float, level: int, bucket_level: int) -> DataFrame:
-    """Code ranges (``lo``, ``hi``, both inclusive) that cover each site's disc, cut at bucket bounds.
+def disc_cells(sites: DataFrame, radius_m: float, level: int) -> DataFrame:
+    """Every row once per ``cell`` of the level that its disc reaches.
 
-    ``sites`` has ``sid``, ``slat``, ``slon`` (usable positions). Neighbouring cells become one range.
-    Discs that reach over the 180th meridian wrap; near a pole all longitudes are covered.
+    ``sites`` has ``slat``, ``slon`` (usable positions); other columns stay. Discs that reach over the 180th meridian wrap; near a pole all longitudes are covered.
     """
     n = 2**level
     dlat = math.degrees(radius_m / EARTH_M) * 1.000001
@@ -58,7 +57,15 @@ def disc_ranges(sites: DataFrame, radius_m: float, level: int, bucket_level: int
     south = F.greatest(F.floor((F.col("slat") - dlat + 90.0) / 180.0 * n).cast("long"), F.lit(0))
     north = F.least(F.floor((F.col("slat") + dlat + 90.0) / 180.0 * n).cast("long"), F.lit(n - 1))
     cells = sites.withColumn("ix", F.explode(F.sequence(west, east))).withColumn("iy", F.explode(F.sequence(south, north)))
-    cells = cells.select("sid", "slat", "slon", z_code(F.pmod(F.col("ix"), F.lit(n)), F.col("iy")).alias("cell")).distinct()
+    return cells.select(*sites.columns, z_code(F.pmod(F.col("ix"), F.lit(n)), F.col("iy")).alias("cell"))
+
+
+def disc_ranges(sites: DataFrame, radius_m: float, level: int, bucket_level: int) -> DataFrame:
+    """Code ranges (``lo``, ``hi``, both inclusive) that cover each site's disc, cut at bucket bounds.
+
+    ``sites`` has ``sid``, ``slat``, ``slon`` (usable positions). Neighbouring cells become one range.
+    """
+    cells = disc_cells(sites.select("sid", "slat", "slon"), radius_m, level).distinct()
     site = ["sid", "slat", "slon"]
     island = F.col("cell") - F.row_number().over(Window.partitionBy(*site).orderBy("cell"))
     down = 2 * (BITS - level)
