@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ferrywake.functions.text import safe_key
-from ferrywake.operators.proximity import within_distance
+from ferrywake.operators.proximity import BITS, cover_level, point_code, within_distance
+from ferrywake.session import discard, materialize
 
 
 def bike_status(status: DataFrame, info: DataFrame, now_ms: Column, stale_ms: int = 1_800_000) -> DataFrame:
@@ -25,12 +26,45 @@ def preferred(left: DataFrame, right: DataFrame, on: list[str], per: list[str],
     return joined.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def _halvings(spots: DataFrame, sites: DataFrame, radius_m: float) -> int:
+    """How often to halve a radius so that a spot has a handful of sites within it on average: by the levels of cells, whose height goes with the radius."""
+    level = cover_level(radius_m)
+
+    def counts(df: DataFrame, n: str) -> DataFrame:
+        fine = df.groupBy(point_code(F.col("lat"), F.col("lon")).alias("code")).agg(F.count("*").alias("c"))
+        by_level = fine.withColumn("level", F.explode(F.sequence(F.lit(level), F.lit(BITS)))).withColumn("cell", F.expr(f"shiftright(code, 2 * ({BITS} - level))"))
+        return by_level.groupBy("level", "cell").agg(F.sum(F.col("c").cast("double")).alias(n))
+
+    met = counts(spots, "a").join(counts(sites, "b"), ["level", "cell"]).groupBy("level").agg((F.sum(F.col("a") * F.col("b")) / F.sum("a")).alias("mean"))
+    mean = {r["level"]: r["mean"] for r in met.collect()}
+    return next((n - level for n in range(level, BITS) if mean.get(n, 0.0) <= 4.0), BITS - level)
+
+
 def nearest_within(points: DataFrame, pid: str, plat: str, plon: str, sites: DataFrame, sid: str, slat: str, slon: str, radius_m: float) -> DataFrame:
-    """The nearest site of each point within a radius (J7, J10): ``pid, sid, distance_m``; equal distances go to the smaller ``sid``."""
-    near = within_distance(points, pid, plat, plon, sites, sid, slat, slon, radius_m)
-    name = sid if sid != pid else f"{sid}_site"
-    best = near.groupBy(pid).agg(F.min(F.struct("distance_m", F.col(name).alias("s"))).alias("b"))
-    return best.select(pid, F.col("b.s").alias(name), F.col("b.distance_m").alias("distance_m"))
+    """The nearest site of each point within a radius (J7, J10): ``pid, sid, distance_m``; equal distances go to the smaller ``sid``.
+
+    Of sites of equal place only the smallest ``sid`` can be nearest, and points of equal place share theirs, so both are looked for by place. A place that has a site
+    within half of a reach has its nearest there; so the search begins with a reach that holds a handful of sites, and places without any go on with twice the reach.
+    """
+    here = lambda df, key, lat, lon: df.select(F.col(key).alias("key"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).where(F.col("key").isNotNull() & point_code(F.col("lat"), F.col("lon")).isNotNull())
+    p = here(points, pid, plat, plon)
+    left = materialize(p.select("lat", "lon").distinct())
+    s = materialize(here(sites, sid, slat, slon).groupBy("lat", "lon").agg(F.min("key").alias("sid")))
+    reach = radius_m / 2 ** _halvings(left, s, radius_m)
+    found = None
+    while True:
+        near = within_distance(left.withColumn("spot", F.struct("lat", "lon")), "spot", "lat", "lon", s, "sid", "lat", "lon", reach)
+        near = near.groupBy("spot").agg(F.min(F.struct("distance_m", F.col("sid").alias("s"))).alias("b")).select("spot.*", "b")
+        if reach < radius_m:
+            near = materialize(near)
+            before, left = left, materialize(left.join(near, ["lat", "lon"], "left_anti"))
+            discard(left.sparkSession, before)
+        found = near if found is None else found.unionByName(near)
+        if reach >= radius_m or left.isEmpty():
+            break
+        reach = min(radius_m, 2 * reach)
+    best = p.join(found, ["lat", "lon"]).groupBy("key").agg(F.min("b").alias("b"))  # of several places of a point the one nearest to its site
+    return best.select(F.col("key").alias(pid), F.col("b.s").alias(sid if sid != pid else f"{sid}_site"), F.col("b.distance_m").alias("distance_m"))
 
 
 def far_from(points: DataFrame, pid: str, plat: str, plon: str, sites: DataFrame, sid: str, slat: str, slon: str, radius_m: float) -> DataFrame:
